@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, secret_scan
+from . import fingerprints, mixing, packing, quality, secret_scan, toxicity
 
 
 def queries():
@@ -10,7 +10,10 @@ def queries():
 
     return {
         "op2_imatch_fingerprints": fingerprints.op2,
+        "op5_attention_quality": quality.op5,
+        "op6_best_fit_packing": packing.op6,
         "op7_temperature_mixing": mixing.op7,
+        "op8_string_kernel_toxicity": toxicity.op8,
         "op9_secret_scans": secret_scan.op9,
         "pipeline": corpus_pipeline.run,
     }
