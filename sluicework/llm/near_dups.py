@@ -270,6 +270,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The row of the least id of each class, and rows with a null id; other rows are left out."""
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op3(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 

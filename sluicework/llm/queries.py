@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, packing, quality, secret_scan, toxicity
+from . import fingerprints, html_text, mixing, near_dups, packing, quality, secret_scan, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
 
     return {
         "op2_imatch_fingerprints": fingerprints.op2,
+        "op3_weighted_minhash": near_dups.op3,
         "op4_consensus_html": html_text.op4,
         "op5_attention_quality": quality.op5,
         "op6_best_fit_packing": packing.op6,

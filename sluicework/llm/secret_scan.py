@@ -54,14 +54,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, example_owners: int = 3, staging: Staging | None = None) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and
-    ``spans`` (sorted arrays of structs with a verdict for ``spans``), ``n_live``, ``n_example``.
-
-    ``repository_col`` defaults to the row's own id: every document is a repository. A value with
-    ``example_owners`` or more owners is an example. Base spans always stay; a long token with
-    digits that overlaps no base span is added where its value looks live.
-    """
+def judge_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, example_owners: int = 3, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    """``scanned``: id, hash of the text, counts and sorted base spans of every input row; ``judged``:
+    the spans with their verdicts for each id and text hash that has any."""
     spark = docs.sparkSession
     staging = staging or Staging(spark, "secrets")
     text = whole(text_col)
@@ -94,10 +89,24 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .groupBy("id", "body_hash")
         .agg(F.array_sort(F.collect_set(F.struct("start", "rank", "kind", "end", "live", "n_repos", "n_owners"))).alias("judged"))
     )
-    left, right = scanned.drop("owner", "repo", "cand").alias("l"), judged.alias("r")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,live:boolean,n_repos:bigint,n_owners:bigint>>)")
+    return scanned.drop("owner", "repo", "cand"), judged
+
+
+JUDGED = "array<struct<start:int,rank:int,kind:string,end:int,live:boolean,n_repos:bigint,n_owners:bigint>>"
+
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per input row: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and
+    ``spans`` (sorted arrays of structs with a verdict for ``spans``), ``n_live``, ``n_example``.
+
+    ``repository_col`` defaults to the row's own id: every document is a repository. A value with
+    ``example_owners`` or more owners is an example. Base spans always stay; a long token with
+    digits that overlaps no base span is added where its value looks live.
+    """
+    scanned, judged = judge_spans(docs, id_col=id_col, **options)
+    left, right = scanned.alias("l"), judged.alias("r")
     out = left.join(right, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.body_hash") == F.col("r.body_hash")), "left")
-    spans = F.coalesce(F.col("r.judged"), none)
+    spans = F.coalesce(F.col("r.judged"), F.expr(f"cast(array() as {JUDGED})"))
     return out.select(
         F.col("l.id").alias(id_col), F.col("l.n_assign"), F.col("l.n_access"), F.col("l.n_hex"), F.col("l.base").alias("base"), spans.alias("spans"),
         F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
@@ -118,6 +127,15 @@ def mask(text: Column, spans: Column, kinds: tuple[str, ...] = ("assign", "acces
     return F.aggregate(F.filter(spans, lambda s: s["kind"].isin(*kinds)), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input rows with every span that looks live replaced by ``[SECRET]``."""
+    _, judged = judge_spans(docs, id_col=id_col, text_col=text_col, **options)
+    found = judged.select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.filter("judged", lambda s: s["live"]).alias("_live")).filter(F.size("_live") > 0)
+    both = docs.withColumn("_text_hash", F.xxhash64(whole(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    clean = F.when(F.col("_live").isNotNull(), mask(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
+    return both.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def op9(spark, sf_dir):
     out = scan_secrets(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_example")
