@@ -154,16 +154,16 @@ class KernelMachine:
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """K(word, landmark) for single units."""
-    z = np.zeros((len(landmarks), SYMBOLS**4), np.float32)
-    for own, code, w in spread(Units(landmarks)):
-        np.add.at(z, (own, code), w)
-    used = np.flatnonzero(z.any(0))
+    entries = list(spread(Units(landmarks)))
+    used = np.unique(np.concatenate([code for _, code, _ in entries]))
     place = np.full(SYMBOLS**4, -1, np.int32)
     place[used] = np.arange(len(used))
-    z = np.ascontiguousarray(z[:, used].T)
+    z = np.zeros((len(used), len(landmarks)), np.float32)
+    for own, code, w in entries:
+        np.add.at(z, (place[code], own), w)
     out = np.zeros((len(words), len(landmarks)))
-    for s in range(0, len(words), 4_000):
-        part = words[s : s + 4_000]
+    for s in range(0, len(words), 2_000):
+        part = words[s : s + 2_000]
         for own, code, w in spread(Units(part)):
             at = place[code]
             own, at = own[at >= 0], at[at >= 0]
