@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, near_dups, packing, quality, secret_scan, toxicity
+from . import fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, secret_scan, suffix_dedup, toxicity
 
 
 def queries():
     import corpus_pipeline
 
     return {
+        "op1_suffix_dedup": suffix_dedup.op1,
         "op2_imatch_fingerprints": fingerprints.op2,
         "op3_weighted_minhash": near_dups.op3,
         "op4_consensus_html": html_text.op4,
@@ -17,6 +18,7 @@ def queries():
         "op7_temperature_mixing": mixing.op7,
         "op8_string_kernel_toxicity": toxicity.op8,
         "op9_secret_scans": secret_scan.op9,
+        "op10_nn_descent": neighbours.op10,
         "pipeline": corpus_pipeline.run,
     }
 
