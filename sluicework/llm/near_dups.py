@@ -9,8 +9,11 @@ verified by its exact weighted Jaccard similarity.
 
 Shape of the work: equal word sequences are one node from the start. In a bucket, all nodes are
 compared with the least one, then links are closed into components, and only where a bucket still
-holds several components are nodes outside its largest one compared with the other components: no
-link between candidates is lost, and a group of n near copies costs n comparisons. Word frequencies
+holds several components are nodes outside its largest one compared with the other components. One
+minus the similarity is a metric, so two nodes whose distances from the least node of the bucket differ
+by more than a link allows need no comparison; distances are cut into ranges, and only neighbouring
+ranges of a bucket meet. No link between candidates is lost, and a group of n near copies costs n
+comparisons. Word frequencies
 sit in ``BUCKETS`` hash buckets, so what is broadcast has a fixed size. Components are found by joins
 over staged tables; nothing about single documents goes to the driver.
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, code_points, is_word, mixed, prefix_hashes, runs, substring_hashes
 from .common import Staging, read_table, whole
 
-BANDS, ROWS, SHINGLE, SIMILARITY = 24, 5, 5, 0.8
+BANDS, ROWS, SHINGLE, SIMILARITY = 32, 7, 5, 0.8
 BUCKETS = 1 << 16
 U64 = np.uint64
 
@@ -187,21 +190,19 @@ def sketches(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> Da
     return src.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, h1 long, h2 long, weight double, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least so similar."""
+def measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (a, b) with the similarity of their texts."""
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for s, e in chunks([x + y for x, y in zip(a, b, strict=True)]):
-                keep.append(similarities(a[s:e], b[s:e], idf) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
+            found = [similarities(a[s:e], b[s:e], idf) for s, e in chunks([x + y for x, y in zip(a, b, strict=True)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found) if found else np.zeros(0))], ["a", "b", "similarity"])
 
     kind = dict(pairs.dtypes)["a"]
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
@@ -236,28 +237,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # One node for each word sequence.
     nodes = staging.put(named.groupBy("h1", "h2").agg(F.min(F.struct("id", "weight", "bands")).alias("n")).select("h1", "h2", "n.*"), "nodes")
     member = staging.put(nodes.select(F.col("id").alias("node"), "weight", F.explode("bands").alias("bucket")), "members")
-    leader = member.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("l.node").alias("b"), F.col("l.weight").alias("wb"))
-    close = F.least("weight", "wb") >= similarity * F.greatest("weight", "wb") - 1e-9
-    first = staging.put(member.join(leader, "bucket").filter(F.col("node") != F.col("b")).filter(close).select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    # Texts of nodes that share a bucket with a node of a like weight.
-    shared = member.join(leader, "bucket").select(F.col("node").alias("id")).distinct()
+    leader = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
+    shared = staging.put(member.join(leader, "bucket"), "shared")
+    first = staging.put(shared.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    texts = staging.put(source.join(shared, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    edges = staging.put(verified(first, texts, idf, similarity), "edges-1")
+    texts = staging.put(source.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    found = staging.put(measured(first, texts, idf), "similarities")
+    edges = found.filter(F.col("similarity") >= similarity).select("a", "b")
     labels = components(edges, staging, "labels-1")
-    # Buckets in which several components are left.
-    held = member.join(leader.select("bucket"), "bucket").join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "weight", F.coalesce("label", "node").alias("label"))
-    held = staging.put(held, "held")
-    counts = held.groupBy("bucket", "label").count()
-    main = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("m.label").alias("main"))
-    apart = held.join(main, "bucket")
-    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    second = apart.join(rest, "bucket").filter((F.col("label") != F.col("lb")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))).filter(close)
-    second = second.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = staging.put(second.join(tested, ["a", "b"], "left_anti"), "pairs-2")
+    # Nodes of the buckets in which several components are left, with their distance from the leader.
+    label = labels.select(F.col("id").alias("node"), "label")
+    held = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_ones = held.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("m.label").alias("main"))
+    far = found.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
+    apart = staging.put(held.join(mixed_ones, "bucket").join(far, ["node", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "apart")
+    slack = 1 - similarity + 1e-9
+    cell = F.floor(F.col("far") / F.lit(slack)).cast("int")
+    one = apart.select("bucket", "main", "node", "weight", "label", "far", cell.alias("cell"))
+    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    like = (F.abs(F.col("far") - F.col("fb")) <= slack) & (F.least("weight", "wb") >= similarity * F.greatest("weight", "wb") - 1e-9)
+    once = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
+    # A leader has met every node of its bucket.
+    o, r = one.alias("o"), rest.filter("fb > 0").alias("r")
+    second = o.filter("far > 0").join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like)
+    second = staging.put(second.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-2")
     if second.limit(1).count():
-        more = staging.put(verified(second, texts, idf, similarity), "edges-2")
+        more = staging.put(measured(second, texts, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "edges-2")
         if more.limit(1).count():
             labels = components(edges.union(more), staging, "labels-2")
     node_class = nodes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
