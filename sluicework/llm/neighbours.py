@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import Staging, read_table, width
 
-LINKS, TREES, RUN, ROUNDS = 20, 5, 96, 8
-BEAM, EXPAND, HOPS, TOP = 48, 8, 24, 10
+LINKS, TREES, RUN, ROUNDS = 32, 6, 160, 10
+BEAM, EXPAND, HOPS, TOP = 160, 28, 24, 10
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -42,6 +42,28 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
+def halves(column: pa.Array) -> np.ndarray:
+    """Rows of a column of half-precision numbers as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
+
+
+def squared(x: np.ndarray) -> np.ndarray:
+    """Squared distances between all rows of a small matrix."""
+    s = (x * x).sum(1)
+    return np.maximum(s[:, None] + s[None, :] - 2 * x @ x.T, 0)
+
+
+def compact(nodes: DataFrame) -> DataFrame:
+    """Vectors in half precision: enough for the order of links, at half the cost of moving them."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.clip(matrix(batch.column(1)), -60000, 60000).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "half"])
+
+    return nodes.select("id", "vector").mapInArrow(run, "id long, half binary")
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vector (array<float or double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
@@ -73,7 +95,7 @@ def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
                 for s in range(0, len(ids), RUN):
                     e = min(s + RUN, len(ids))
                     s = max(0, min(s, e - RUN))
-                    d = ((x[s:e, None, :] - x[None, s:e, :]) ** 2).sum(-1)
+                    d = squared(x[s:e])
                     np.fill_diagonal(d, np.inf)
                     k = min(LINKS, e - s - 1)
                     if k < 1:
@@ -123,21 +145,21 @@ def introduce(graph: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     met = edges.select("id", "nbr", "fresh").unionByName(reverse_sample(edges, LINKS, seed)).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
     last = F.element_at("links", -1)
     full = F.size("links") >= LINKS
-    known = nodes.join(graph, "id").select(F.col("id").alias("nbr"), "vector", F.when(full, last["d"]).otherwise(F.lit(float("inf")).cast("float")).alias("worst"), F.when(full, last["nbr"]).otherwise(F.lit(2**62)).alias("worst_id"))
-    gathered = met.join(known, "nbr").select("id", "nbr", "fresh", "vector", "worst", "worst_id")
+    known = nodes.join(graph, "id").select(F.col("id").alias("nbr"), "half", F.when(full, last["d"]).otherwise(F.lit(float("inf")).cast("float")).alias("worst"), F.when(full, last["nbr"]).otherwise(F.lit(2**62)).alias("worst_id"))
+    gathered = met.join(known, "nbr").select("id", "nbr", "fresh", "half", "worst", "worst_id")
 
     def local_join(batches):
         rest: pa.Table | None = None
 
         def solve(table: pa.Table):
             own, ids, fresh = (table.column(c).to_numpy() for c in ("id", "nbr", "fresh"))
-            x, worst, worst_id = matrix(table.column("vector"), np.float32), table.column("worst").to_numpy(), table.column("worst_id").to_numpy()
+            x, worst, worst_id = halves(table.column("half")), table.column("worst").to_numpy(), table.column("worst_id").to_numpy()
             heads = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
             a_out, b_out, d_out = [], [], []
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(own)], strict=True):
                 if e - s < 2 or not fresh[s:e].any():
                     continue
-                d = ((x[s:e, None, :] - x[None, s:e, :]) ** 2).sum(-1)
+                d = squared(x[s:e])
                 ok = (fresh[s:e, None] | fresh[None, s:e]) & ((d < worst[s:e, None]) | (d == worst[s:e, None]) & (ids[None, s:e] < worst_id[s:e, None]))
                 np.fill_diagonal(ok, False)
                 i, j = np.nonzero(ok)
@@ -159,15 +181,16 @@ def introduce(graph: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from solve(rest)
 
-    return gathered.repartition("id").sortWithinPartitions("id").mapInArrow(local_join, "id long, nbr long, d float").distinct()
+    return gathered.repartition("id").sortWithinPartitions("id").mapInArrow(local_join, "id long, nbr long, d float")
 
 
-def build_graph(nodes: DataFrame, dim: int, staging: Staging, rounds: int = ROUNDS, until: float = 0.002) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, staging: Staging, rounds: int = ROUNDS, until: float = 0.01) -> DataFrame:
     """(id, links): rounds go on until fewer than ``until`` of all links are new."""
     graph = staging.put(top_links(first_lists(nodes, dim).withColumn("fresh", F.lit(True))), "graph-0")
     n = nodes.count()
+    half = staging.put(compact(nodes), "half")
     for turn in range(1, rounds + 1):
-        offers = introduce(graph, nodes, turn).withColumn("fresh", F.lit(True))
+        offers = introduce(graph, half, turn).withColumn("fresh", F.lit(True))
         old = exploded(graph).withColumn("fresh", F.lit(False))
         fresh = staging.put(top_links(old.unionByName(offers)), f"graph-{turn}")
         staging.drop(f"graph-{turn - 1}")
