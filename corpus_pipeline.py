@@ -16,7 +16,7 @@ from sluicework.llm.common import Staging, read_table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model.score, carry=tuple(docs.columns)).filter("score >= 0.3").select(*docs.columns)
+    return quality.kept(docs, model.score, 0.3)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

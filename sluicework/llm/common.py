@@ -53,3 +53,14 @@ def whole(text: str = "text"):
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns renamed, so that no name of its own meets one of an operator's, and
+    the new name of each old one. ``restored`` undoes it."""
+    names = {c: f"column_{i}_of_input" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Staging, read_table, whole
+from .common import Staging, numbered, read_table, whole
 
 STEPS = 40
 
@@ -74,9 +74,11 @@ def budgets(shares: DataFrame, exponent: float, total: int | None = None) -> Dat
 
 
 def mix_rows(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", entropy: float | None = None, max_repeats: float | None = 2.0, total: int | None = None, seed: int = 7, block_tokens: int = 200_000, staging: Staging | None = None, key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every served copy of every row: the input columns plus ``epoch``, ``n_tokens`` and
+    """Every served copy of every row: the input columns plus ``mix_epoch``, ``mix_tokens`` and
     ``mix_at`` (place of the copy in its source's budget, 0 to 1: sorting by it mixes the sources)."""
     spark = docs.sparkSession
+    docs, names = numbered(docs)
+    source_col, text_col, key_cols = names[source_col], names[text_col], tuple(names[k] for k in key_cols)
     staging = staging or Staging(spark, "mix")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     named = docs.select(*[F.col(c) for c in docs.columns], key.alias("_source"), tokens(whole(text_col)).alias("_tokens"), F.xxhash64(*[F.col(c) for c in key_cols]).alias("_id"))
@@ -98,9 +100,10 @@ def mix_rows(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
     placed = copies.join(ahead, ["_source", "epoch", "_block"]).withColumn("_start", F.coalesce(F.col("_ahead"), F.lit(0)) + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
     kept = placed.filter((F.col("epoch") < F.coalesce(F.col("whole"), F.lit(1))) | (F.col("_start") + F.col("_tokens") <= F.col("rest")))
     at = F.when(F.col("budget") > 0, (F.col("epoch") * F.col("source_tokens") + F.col("_start")) / F.col("budget")).otherwise(F.lit(0.0))
-    return kept.select(*[F.col(c) for c in docs.columns], F.col("epoch").cast("long").alias("epoch"), F.col("_tokens").alias("n_tokens"), at.alias("mix_at"))
+    extras = {"mix_epoch": F.col("epoch").cast("long"), "mix_tokens": F.col("_tokens"), "mix_at": at}
+    return kept.select(*[F.col(new).alias(old) for old, new in names.items()], *[c.alias(n) for n, c in extras.items() if n not in names])
 
 
 def op7(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_rows(docs).drop("text")
+    return mix_rows(docs).drop("text").withColumnsRenamed({"mix_epoch": "epoch", "mix_tokens": "n_tokens"})

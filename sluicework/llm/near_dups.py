@@ -8,13 +8,16 @@ weighted Jaccard similarity. Texts that agree on a whole band are candidates, an
 verified by its exact weighted Jaccard similarity.
 
 Shape of the work: equal word sequences are one node from the start. In a bucket, all nodes are
-compared with the least one, then links are closed into components, and only where a bucket still
-holds several components are nodes outside its largest one compared with the other components. One
-minus the similarity is a metric, so two nodes whose distances from the least node of the bucket differ
-by more than a link allows need no comparison; distances are cut into ranges, and only neighbouring
-ranges of a bucket meet. No link between candidates is lost, and a group of n near copies costs n
-comparisons. Word frequencies
-sit in ``BUCKETS`` hash buckets, so what is broadcast has a fixed size. Components are found by joins
+compared with the most central one, then links are closed into components, and only where a bucket still
+holds several components are nodes outside its largest one compared with the other components. No
+link between candidates is lost, and a group of n near copies costs n comparisons. Two exact bounds
+spare comparisons of this second kind. One minus the similarity is a metric, so nodes whose distances
+from the central node differ by more than a link allows cannot be linked; distances are cut into
+ranges, and only neighbouring ranges of a bucket meet. And two texts share at most what neither of them
+has alone among the texts that are left, so edited copies that lie too far from their original are
+known to have no link at all.
+
+Word frequencies sit in ``BUCKETS`` hash buckets, so what is broadcast has a fixed size. Components are found by joins
 over staged tables; nothing about single documents goes to the driver.
 
 Word (rather than shingle) frequencies weigh the shingles, because the frequency of a shingle inside a
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, code_points, is_word, mixed, prefix_hashes, runs, substring_hashes
-from .common import Staging, read_table, whole
+from .common import Staging, numbered, read_table, restored, whole
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 7, 5, 0.8
 BUCKETS = 1 << 16
@@ -81,8 +84,8 @@ def shingles(texts: list[str], idf: np.ndarray):
         pair.append(mixed(total[first + count] - total[first] + U64(seed)))
     for i in np.flatnonzero(count == 0):
         cps = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)
-        h0 = prefix_hashes(cps)[-1] + U64(len(cps))
-        pair[0][i], pair[1][i] = mixed(h0 ^ U64(0xABCD))[()], mixed(h0 * U64(7) + U64(5))[()]
+        h0 = prefix_hashes(cps)[-1:] + U64(len(cps))
+        pair[0][i], pair[1][i] = mixed(h0 ^ U64(0xABCD))[0], mixed(h0 * U64(7) + U64(5))[0]
     return doc2[heads], h[heads], w[heads] * times, np.stack(pair), count
 
 
@@ -132,7 +135,7 @@ def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarr
     n = len(index)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
-    total = np.bincount(doc, weights=w, minlength=n)
+    total = np.bincount(doc, weights=w, minlength=n).astype(float)
     # One row for every shingle of either text, by pair.
     take = np.concatenate([a, b])
     size = count[take]
@@ -183,7 +186,7 @@ def sketches(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> Da
                 rows = np.where(count > 0, BANDS, 0)
                 flat = bands[count > 0].ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows)]), pa.int32()), pa.array(flat))
-                weight = np.bincount(doc, weights=w, minlength=b - a)
+                weight = np.bincount(doc, weights=w, minlength=b - a).astype(float)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(pair[0].astype(np.int64)), pa.array(pair[1].astype(np.int64)), pa.array(weight), lists], ["id", "h1", "h2", "weight", "bands"])
 
     src = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
@@ -205,6 +208,21 @@ def measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def own_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(id, own): the weight of the shingles of a text that no other text of the table has."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                doc, h, w, _, _ = shingles(texts[a:b], idf)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(doc)), pa.array(h.astype(np.int64)), pa.array(w.astype(float))], ["id", "h", "w"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, h long, w double")
+    single = rows.groupBy("h").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
+    return single.groupBy("id").agg(F.sum("w").alias("own"))
+
+
 def components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
     """(id, label): the least id of each connected component, for every id that has an edge.
 
@@ -237,8 +255,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # One node for each word sequence.
     nodes = staging.put(named.groupBy("h1", "h2").agg(F.min(F.struct("id", "weight", "bands")).alias("n")).select("h1", "h2", "n.*"), "nodes")
     member = staging.put(nodes.select(F.col("id").alias("node"), "weight", F.explode("bands").alias("bucket")), "members")
-    leader = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-    shared = staging.put(member.join(leader, "bucket"), "shared")
+    # The leader of a bucket is the node that meets most others over all its buckets: the original of a
+    # group of edited copies, say, which is like all of them while they are less like each other.
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    meeting = staging.put(member.join(sizes, "bucket"), "meeting")
+    central = meeting.groupBy("node").agg(F.sum("n").alias("met"))
+    leader = meeting.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), F.col("node").alias("leader"))).getField("leader").alias("leader"))
+    shared = staging.put(meeting.drop("n").join(leader, "bucket"), "shared")
     first = staging.put(shared.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     texts = staging.put(source.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
@@ -251,15 +274,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed_ones = held.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("m.label").alias("main"))
     far = found.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
     apart = staging.put(held.join(mixed_ones, "bucket").join(far, ["node", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "apart")
+    # Two texts share at most what neither has alone, which bounds their similarity from above. A text
+    # that has too much alone among these can have no link to any of them.
+    asked = texts.join(apart.filter("far > 0").select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    own = staging.put(own_weights(asked, idf), "own").withColumnRenamed("id", "node")
+    common = F.col("weight") - F.coalesce("own", F.lit(0.0))
+    apart = staging.put(apart.filter("far > 0").join(own, "node", "left").withColumn("common", common).filter(F.col("common") >= similarity * F.col("weight") - 1e-9), "open")
     slack = 1 - similarity + 1e-9
     cell = F.floor(F.col("far") / F.lit(slack)).cast("int")
-    one = apart.select("bucket", "main", "node", "weight", "label", "far", cell.alias("cell"))
-    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    like = (F.abs(F.col("far") - F.col("fb")) <= slack) & (F.least("weight", "wb") >= similarity * F.greatest("weight", "wb") - 1e-9)
+    one = apart.select("bucket", "main", "node", "weight", "common", "label", "far", cell.alias("cell"))
+    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    enough = F.least("common", "cb") * (1 + similarity) >= similarity * (F.col("weight") + F.col("wb")) - 1e-9
+    like = (F.abs(F.col("far") - F.col("fb")) <= slack) & enough
     once = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
-    # A leader has met every node of its bucket.
-    o, r = one.alias("o"), rest.filter("fb > 0").alias("r")
-    second = o.filter("far > 0").join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like)
+    # Leaders, at distance 0, have met every node of their buckets.
+    o, r = one.alias("o"), rest.alias("r")
+    second = o.join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like)
     second = staging.put(second.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-2")
     if second.limit(1).count():
         more = staging.put(measured(second, texts, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "edges-2")
@@ -278,9 +308,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row of the least id of each class, and rows with a null id; other rows are left out."""
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("kept")).distinct()
+    renamed, names = numbered(docs)
+    key = names[id_col]
+    rows = renamed.join(kept, F.col(key) == F.col("kept"), "left_semi").dropDuplicates([key])
+    return restored(rows.unionByName(renamed.filter(F.col(key).isNull())), names)
 
 
 def op3(spark, sf_dir):

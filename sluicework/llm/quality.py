@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, code_points, runs, word_hashes
-from .common import read_table, whole
+from .common import numbered, read_table, restored, whole
 
 FIT_ROWS, FIT_CHARS = 5_000, 40_000
 PASSAGE = 600
@@ -209,6 +209,21 @@ def scored(docs: DataFrame, score, *, id_col: str = "doc_id", text_col: str = "t
     return docs.select(*names, whole(text_col).alias("_body")).mapInArrow(run, ", ".join(f"`{n}` {types[n]}" for n in names) + ", score double")
 
 
+def kept(docs: DataFrame, score, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows whose whole text scores at least ``least``, with all their columns."""
+    renamed, names = numbered(docs)
+    columns = list(names.values())
+
+    def run(batches):
+        for batch in batches:
+            values = np.asarray(score(batch.column(len(columns)).to_pylist()), np.float64)
+            rows = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], columns)
+            yield rows.filter(pa.array(values >= least))
+
+    schema = ", ".join(f"{n} {t}" for n, t in renamed.dtypes)
+    return restored(renamed.select(*columns, whole(names[text_col]).alias("body")).mapInArrow(run, schema), names)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     texts, y = labelled_sample(docs, labels, "quality", keep=remainder("doc_id", 5) != 0)
     return AttentionModel.fit(texts, y)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, read_table, whole
+from .common import Staging, numbered, read_table, restored, whole
 
 # The pattern, the group that must be long enough, and its least length, by kind.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,9 +131,11 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     """The input rows with every span that looks live replaced by ``[SECRET]``."""
     _, judged = judge_spans(docs, id_col=id_col, text_col=text_col, **options)
     found = judged.select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.filter("judged", lambda s: s["live"]).alias("_live")).filter(F.size("_live") > 0)
-    both = docs.withColumn("_text_hash", F.xxhash64(whole(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    clean = F.when(F.col("_live").isNotNull(), mask(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
-    return both.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    renamed, names = numbered(docs)
+    key, body = names[id_col], names[text_col]
+    both = renamed.withColumn("_text_hash", F.xxhash64(whole(body))).join(found, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    clean = F.when(F.col("_live").isNotNull(), mask(F.col(body), F.col("_live"))).otherwise(F.col(body))
+    return restored(both.withColumn(body, clean), names)
 
 
 def op9(spark, sf_dir):

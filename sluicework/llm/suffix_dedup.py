@@ -274,24 +274,27 @@ def compare_windows(blocks: DataFrame) -> DataFrame:
                     s = b.anchor[ok] - back
                     h1, h2 = (substring_hashes(p, s, s + LENGTH).astype(np.int64) for p in (b.prefix, second))
                     take = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc").take(take), batch.column("pos").take(take), pa.array(np.full(len(ok), back, np.int32))], ["h1", "h2", "doc", "pos", "back"])
+                    start = batch.column("pos").to_numpy()[ok] - back
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc").take(take), pa.array(start.astype(np.int32))], ["h1", "h2", "doc", "start"])
 
     kind = dict(blocks.dtypes)["doc"]
-    windows = blocks.mapInArrow(run, f"h1 long, h2 long, doc {kind}, pos int, back int")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", (F.col("pos") - F.col("back")).alias("start"), "pos", "back")).alias("f")).select("f.*")
-    fresh = first.groupBy("doc", "pos").agg(F.collect_set("back").alias("fresh"))
+    windows = blocks.mapInArrow(run, f"h1 long, h2 long, doc {kind}, start int")
+    # The place where a window's content starts first; one row for each content.
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f")).select("f.*")
+    fresh = first.groupBy("doc").agg(F.collect_set("start").alias("fresh"))
 
     def pack(batches):
         for batch in batches:
             bits = []
-            for held in batch.column(2).to_pylist():
+            for pos, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                back = pos - np.array(held or [], np.int64)
                 mask = np.ones(SIDE + 1, bool)
-                mask[held or []] = False
+                mask[back[(back >= 0) & (back <= SIDE)]] = False
                 bits.append(np.packbits(mask).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["doc", "pos", "bits"])
 
     left, right = blocks.select("doc", "pos").alias("l"), fresh.alias("r")
-    both = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.pos") == F.col("r.pos")), "left")
+    both = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")), "left")
     return both.select("l.doc", "l.pos", "r.fresh").mapInArrow(pack, f"doc {kind}, pos int, bits binary")
 
 
