@@ -19,14 +19,16 @@ def predicate(value: Column, comparison: str, operand, present: Column | None =
     """
     if comparison not in COMPARISONS:
         raise ValueError(f"unknown comparison {comparison!r}")
+    # Where presence means not null, the comparison cannot be null: it stays plain, for push-down.
     exists = value.isNotNull() if present is None else present
+    sure = (lambda c: c) if present is None else (lambda c: F.coalesce(c, F.lit(False)))
     if comparison in ("equal", "not_equal"):
-        same = value.isNull() if operand is None else F.coalesce(value == F.lit(operand), F.lit(False))
+        same = value.isNull() if operand is None else sure(value == F.lit(operand))
         return exists & (same if comparison == "equal" else ~same)
     if isinstance(operand, bool) or not isinstance(operand, (int, float)):
         return F.lit(False)
     sign = {"greater_than": value > operand, "greater_than_or_equal": value >= operand, "less_than": value < operand, "less_than_or_equal": value <= operand}[comparison]
-    return exists & F.coalesce(sign, F.lit(False))
+    return exists & sure(sign)
 
 
 def filter_records(records: DataFrame, path: str, comparison: str, operand, *, value: str = "value") -> DataFrame:
