@@ -37,8 +37,8 @@ from .common import Staging, read_table
 
 LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM
-MOST_BLOCKS = 4_096
-CHUNK_BYTES = 1_000_000
+MOST_BLOCKS = 32_768
+CHUNK_BYTES, CHUNK_BLOCKS = 250_000, 8_192
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -237,7 +237,9 @@ def compare_blocks(blocks: DataFrame) -> DataFrame:
         table = table.take(pa.array(np.argsort(table.column("gram").to_numpy(), kind="stable")))
         _, group = np.unique(table.column("gram").to_numpy(), return_inverse=True)
         found = Blocks(group, table.column("data").to_pylist(), table.column("left").to_numpy()).repeated()
-        bits = [b.tobytes() for b in np.packbits(found, axis=1)]
+        hit = np.flatnonzero(found.any(1))
+        bits = [b.tobytes() for b in np.packbits(found[hit], axis=1)]
+        table = table.take(pa.array(hit))
         return pa.RecordBatch.from_arrays([table.column("doc").combine_chunks(), table.column("pos").combine_chunks(), pa.array(bits, pa.binary())], ["doc", "pos", "bits"])
 
     def run(batches):
@@ -246,7 +248,7 @@ def compare_blocks(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 4 * MOST_BLOCKS:
+            if rows >= CHUNK_BLOCKS:
                 table = pa.Table.from_batches(held)
                 gram = table.column("gram").to_numpy()
                 whole = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
@@ -298,24 +300,28 @@ def compare_windows(blocks: DataFrame) -> DataFrame:
     return both.select("l.doc", "l.pos", "r.fresh").mapInArrow(pack, f"doc {kind}, pos int, bits binary")
 
 
-def windows_to_spans(n: int, entries: list[dict]) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text of n bytes, from its repeated anchors.
+def windows_to_spans(n: int, codes: np.ndarray, partly: list[dict]) -> list[tuple[int, int]]:
+    """Maximal removed runs of a text of n bytes.
 
-    An anchor that is not the first of its block repeats with all its windows; the first of a block
-    repeats with the windows in its bits.
+    ``codes``: twice the position of each repeated anchor, and one more where it is the first of its
+    block. Anchors that are not the first of their block repeat with all their windows; ``partly`` has
+    the windows (``bits``) that repeat of those that are.
     """
-    if n < LENGTH or not entries:
+    if n < LENGTH or not len(codes) and not partly:
         return []
-    first = {e["pos"]: e["bits"] for e in entries if e["is_first"]}
-    hit = np.zeros(n - LENGTH + 1, bool)
-    for e in entries:
-        pos = e["pos"]
-        if e["is_first"]:
-            if e["bits"]:
-                start = pos - np.flatnonzero(np.unpackbits(np.frombuffer(e["bits"], np.uint8), count=SIDE + 1))
-                hit[start[(start >= 0) & (start < len(hit))]] = True
-        elif pos not in first:
-            hit[max(0, pos - SIDE) : pos + 1] = True
+    size = n - LENGTH + 1
+    later = np.setdiff1d(codes[codes % 2 == 0] // 2, codes[codes % 2 == 1] // 2)
+    step = np.zeros(size + 1, np.int64)
+    low, high = np.maximum(later - SIDE, 0), np.minimum(later + 1, size)
+    ok = low < high
+    np.add.at(step, low[ok], 1)
+    np.add.at(step, high[ok], -1)
+    hit = np.cumsum(step[:-1]) > 0
+    if partly:
+        bits = np.unpackbits(np.frombuffer(b"".join(p["bits"] for p in partly), np.uint8).reshape(len(partly), -1), axis=1, count=SIDE + 1)
+        row, back = np.nonzero(bits)
+        start = np.array([p["pos"] for p in partly])[row] - back
+        hit[start[(start >= 0) & (start < size)]] = True
     starts = np.flatnonzero(hit)
     if not len(starts):
         return []
@@ -323,8 +329,8 @@ def windows_to_spans(n: int, entries: list[dict]) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + LENGTH).tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", staging: Staging | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """``doc``, ``data`` (bytes of the text) and ``spans`` (array of removed [start, end) runs)."""
+def locate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", staging: Staging | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """``doc``, ``data`` (bytes of the text) and what ``windows_to_spans`` takes to find its runs."""
     staging = staging or Staging(docs.sparkSession, "suffix")
     source = docs.select(F.col(id_col).alias("doc"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("data"))
     anchors = staging.put(anchors_of(source), "anchors")
@@ -358,42 +364,64 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if many.limit(1).count():
         bits = bits.unionByName(compare_windows(many))
     bits = staging.put(bits, "bits")
-    entry = lambda first, bits: F.struct(F.col("pos"), F.lit(first).alias("is_first"), bits.alias("bits"))
-    none = F.lit(None).cast("binary")
-    entries = shared.select("doc", entry(False, none).alias("e")).unionByName(first.select("doc", entry(True, none).alias("e"))).unionByName(bits.select("doc", entry(True, F.col("bits")).alias("e")))
-    lists = staging.put(entries.groupBy("doc").agg(F.collect_list("e").alias("entries")), "entries")
+    code = lambda first: (F.col("pos") * 2 + first).alias("code")
+    no_bits = F.lit(None).cast("struct<pos:int,bits:binary>").alias("part")
+    entries = shared.select("doc", code(0), no_bits).unionByName(first.select("doc", code(1), no_bits))
+    entries = entries.unionByName(bits.select("doc", F.lit(None).cast("int").alias("code"), F.struct("pos", "bits").alias("part")))
+    lists = staging.put(entries.groupBy("doc").agg(F.collect_list("code").alias("codes"), F.collect_list("part").alias("partly")), "entries")
     staging.drop("shared")
 
-    def spans(batches):
+    s, e = source.alias("s"), lists.alias("e")
+    return s.join(e, F.col("s.doc").eqNullSafe(F.col("e.doc")), "left").select("s.doc", "s.data", "e.codes", "e.partly")
+
+
+def spans_of(batch: pa.RecordBatch):
+    """(bytes, removed runs) of every row of a batch of ``locate``."""
+    codes = batch.column(2)
+    values = codes.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum([k or 0 for k in codes.value_lengths().to_pylist()], dtype=np.int64)
+    begin = 0
+    for data, end, partly in zip(batch.column(1), ends.tolist(), batch.column(3), strict=True):
+        text = data.as_py()
+        yield text, windows_to_spans(len(text), values[begin:end], partly.as_py() or [])
+        begin = end
+
+
+def repeated_spans(docs: DataFrame, **options) -> DataFrame:
+    """``doc`` and ``spans``: the [start, end) byte runs of each row's text that repeat."""
+
+    def run(batches):
         for batch in batches:
-            found = [[{"start": a, "end": b} for a, b in windows_to_spans(len(data), entries or [])] for data, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc", "data", "spans"])
+            found = [[{"start": a, "end": b} for a, b in spans] for _, spans in spans_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc", "spans"])
 
-    s, e = source.alias("s"), lists.alias("e")
-    both = s.join(e, F.col("s.doc").eqNullSafe(F.col("e.doc")), "left").select("s.doc", "s.data", "e.entries")
-    return both.mapInArrow(spans, f"doc {kind}, data binary, spans array<struct<start:long,end:long>>")
+    found = locate(docs, **options)
+    return found.mapInArrow(run, f"doc {dict(found.dtypes)['doc']}, spans array<struct<start:long,end:long>>")
 
 
-def kept_parts(data: bytes, spans: list[dict]) -> bytes:
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
-    for s in spans:
-        out.append(data[at : s["start"]])
-        at = s["end"]
+    for start, end in spans:
+        out.append(data[at:start])
+        at = end
     return b"".join([*out, data[at:]])
 
 
-def digests(spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of ``repeated_spans``."""
+def digests(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
 
     def run(batches):
         for batch in batches:
-            data, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            removed = [sum(s["end"] - s["start"] for s in spans) for spans in found]
-            kept = [hashlib.sha256(kept_parts(d, s)).hexdigest() for d, s in zip(data, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = ([], [], [], [])
+            for data, spans in spans_of(batch):
+                row = (len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest())
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spans.mapInArrow(run, f"doc_id {dict(spans.dtypes)['doc']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = locate(docs, **options)
+    return found.mapInArrow(run, f"doc_id {dict(found.dtypes)['doc']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op1(spark, sf_dir):
-    return digests(repeated_spans(read_table(spark, sf_dir, "documents")))
+    return digests(read_table(spark, sf_dir, "documents"))

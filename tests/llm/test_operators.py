@@ -65,13 +65,20 @@ def test_suffix_dedup_equals_brute_force(spark, most):
     for k in range(40):
         texts[10_000 + k] = b"%d begins " % (k * 7919) + line + b"and %d ends " % (k * 104729) + (line[k:] if k % 2 else b"")
     df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r for r in suffix_dedup.digests(suffix_dedup.repeated_spans(df, most_blocks=most)).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.digests(df, most_blocks=most).collect()}
     for i, marks in removed_by_brute_force(texts).items():
         kept = bytes(x for x, m in zip(texts[i], marks, strict=True) if not m)
         n_spans = sum(1 for k, m in enumerate(marks) if m and (k == 0 or not marks[k - 1]))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(texts[i]), sum(marks), n_spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeated_spans(spark):
+    text = "0123456789" * 11 + "x"
+    df = spark.createDataFrame([(1, text), (2, "ab" + text)], "doc_id long, text string")
+    got = {r.doc: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(df).collect()}
+    assert got == {1: [(10, 110)], 2: [(2, 113)]}
+
+
 def test_suffixes_are_sorted_as_bytes_are():
     rng = np.random.default_rng(1)
     blocks = [bytes(rng.integers(97, 99, rng.integers(32, 168)).astype(np.uint8)) for _ in range(300)]
@@ -324,7 +331,7 @@ def run_all(docs, labels, spark):
     model = quality.fit_quality(docs, labels)
     machine = toxicity.fit_toxicity(docs, labels)
     return {
-        "suffix": suffix_dedup.digests(suffix_dedup.repeated_spans(docs)).collect(), "prints": fingerprints.fingerprint_edited(docs).collect(), "near": near_dups.near_duplicates(docs).collect(),
+        "suffix": suffix_dedup.digests(docs).collect(), "prints": fingerprints.fingerprint_edited(docs).collect(), "near": near_dups.near_duplicates(docs).collect(),
         "one": near_dups.keep_one(docs).collect(), "quality": quality.scored(docs, model.score).collect(), "good": quality.kept(docs, model.score, 0.0).collect(), "toxic": quality.scored(docs, machine.score).collect(),
         "packed": packing.pack_documents(docs, packing.default_tokenizer()).collect(), "mixed": mixing.mix_rows(docs).collect(), "secrets": secret_scan.scan_secrets(docs).collect(), "clean": secret_scan.redact(docs).collect(),
     }
