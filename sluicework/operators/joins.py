@@ -11,12 +11,16 @@ from pyspark.sql.window import Window
 from ..schema import micros, seconds
 
 
-def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_key: str | None = None, time: str = "event_time", sequence: str = "sequence", how: str = "inner", version_columns: list[str] | None = None) -> DataFrame:
+def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_key: str | None = None, time: str = "event_time", sequence: str = "sequence", how: str = "inner", version_columns: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Each probe with the version of its key that held at its time, prefixed ``version_``.
 
     The version is the last by (time, sequence) at or before the probe; if that one is a retraction
     there is no match. Probes and versions are one sorted stream per key, so the cost is one exchange
     and one sort however many versions a key has; no pair is built.
+
+    With ``ranges``, time is cut at quantiles and a task holds a key's rows of one range: for keys that
+    hold a large share of all rows. The last version of every key and range is summed up in a row (with
+    partial results), carried over the ranges of its key, and joined back on that unique pair.
     """
     if how not in ("inner", "left"):
         raise ValueError("an as-of join is inner or left")
@@ -29,8 +33,23 @@ def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_k
     probe_type = p.select(F.struct(*p.columns).alias("x")).schema["x"].dataType
     right = right.withColumn("_probe", F.lit(None).cast(probe_type))
     left = p.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(sequence).alias("_s"), F.lit(None).cast(right.schema["_version"].dataType).alias("_version"), F.struct(*p.columns).alias("_probe"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
-    found = right.unionByName(left).withColumn("_last", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
+    rows = right.unionByName(left)
+    if ranges and ranges > 1:
+        at = micros("_t")
+        cuts = rows.select(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
+        bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<bigint>)")
+        rows = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= at)))
+        ends = rows.filter("_side = 0").groupBy("_k", "_range").agg(F.max_by("_version", F.struct("_t", "_s")).alias("_end"))
+        # One row for each key and range in which the key has rows, so that a carry meets every probe.
+        seen = rows.groupBy("_k", "_range").agg(F.lit(1).alias("_one")).join(ends, ["_k", "_range"], "left")
+        over = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = seen.select("_k", "_range", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
+        w = Window.partitionBy("_k", "_range").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.withColumn("_inside", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
+        found = found.join(carried, ["_k", "_range"]).withColumn("_last", F.coalesce("_inside", "_carried"))
+    else:
+        w = Window.partitionBy("_k").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.withColumn("_last", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
     hit = F.col("_last").isNotNull() & ~F.col("_last.removed")
     if how == "inner":
         found = found.filter(hit)

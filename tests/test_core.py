@@ -117,6 +117,15 @@ def test_as_of_with_tombstone_and_equal_time(spark):
     assert {r.value.v for r in joins.as_of(probes, versions).collect()} == {1, 2, 3, 5}
 
 
+def test_as_of_by_ranges_agrees_with_one_range(spark):
+    rng = random.Random(5)
+    kinds = ["upsert", "upsert", "delete"]
+    versions = records(spark, [(rng.choice("aaab"), rng.randrange(200), (i,), rng.choice(kinds)) for i in range(120)])
+    probes = records(spark, [(rng.choice("aaabc"), rng.randrange(220), (i,)) for i in range(200)])
+    pick = lambda ranges: sorted((r.value.v, r.version_value and r.version_value.v) for r in joins.as_of(probes, versions, how="left", ranges=ranges).collect())
+    assert pick(None) == pick(7)
+
+
 def test_deduplicate_by_event_time(spark):
     rows = records(spark, [("a", 10, (0,)), ("a", 7, (1,)), ("b", 9, (2,)), ("a", 11, (3,))])
     assert sorted((r.key, secs(r.event_time)) for r in ranking.deduplicate(rows).collect()) == [("a", 7), ("b", 9)]
