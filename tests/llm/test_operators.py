@@ -191,10 +191,22 @@ def test_classifiers_on_held_out_labels(spark, name, label, folds, held, least):
     assert right > 0.96 * len(out)
 
 
-def test_toxicity_tolerates_gaps(spark):
-    docs, labels = docs_of(spark, "/root/testdata/check_s"), common.read_table(spark, "/root/testdata/check_s", "labels")
-    machine = toxicity.fit_toxicity(docs, labels)
-    scores = machine.score(["you are an idiot and a moron", "you are an i d i o t and a m.o.r.o.n", "such an idioot, a morron", "the and of this that", ""])
+def test_toxicity_tolerates_gaps():
+    rng = np.random.default_rng(11)
+    parts = "an er th on re in ti es or st ar nd to nt is of it al as ha".split()
+    insults = "idiot moron stupid pathetic worthless".split()
+    texts, labels = [], []
+    for i in range(900):
+        words = ["".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(60)]
+        if i % 6 == 0:
+            for w in rng.choice(insults, 3, replace=False):
+                words[rng.integers(60)] = w
+        texts.append(" ".join(words))
+        labels.append(float(i % 6 == 0))
+    machine = toxicity.fit(texts[100:], np.array(labels[100:]))
+    right = ((machine.score(texts[:100]) >= 0.7) == (np.array(labels[:100]) > 0)).mean()
+    assert right >= 0.97
+    scores = machine.score(["such an idiot and a moron", "such an i d i o t and a m.o.r.o.n", "a worthlesss idioot, so pathettic", "the and of this that", ""])
     assert (scores[:3] >= 0.7).all() and (scores[3:] < 0.3).all()
 
 
