@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .operators import admission, changelog, filters, joins, process, ranking, scaling, views, windows
-from .plans.pipeline import Graph
+from .plans.pipeline import Graph, forward
 from .schema import StreamPolicy
 from .sources import tables
 
@@ -206,6 +206,16 @@ def topn_bag(spark, d):
     return ranking.top_n(bag, [("score", "desc")], 10, partition_by=["user_id"], ties=["score"], count="count")
 
 
+@query("""WITH a AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
+SELECT o_custkey, o_orderkey, o_totalprice, 'delete' AS kind, CAST(-1 AS BIGINT) AS diff FROM a WHERE r <= 2 AND o_orderkey NOT IN (SELECT o_orderkey FROM b WHERE r <= 2)
+UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 'insert', CAST(1 AS BIGINT) FROM b WHERE r <= 2 AND o_orderkey NOT IN (SELECT o_orderkey FROM a WHERE r <= 2)""")
+def topn_changes(spark, d):
+    rows = tables.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    best = lambda df: ranking.top_n(df, [("o_totalprice", "desc")], 2, partition_by=["o_custkey"], ties=["o_orderkey"])
+    return ranking.winner_changes(best(rows.filter("o_orderkey % 2 = 0")), best(rows))
+
+
 # Changelogs
 
 
@@ -244,6 +254,16 @@ def bag_net(spark, d):
     return changelog.bag(rows, ["key", "item", "event_time"])
 
 
+@query(f"""WITH {CHANGES}, a AS (SELECT *, CASE WHEN NOT gone THEN level END AS state FROM c), b AS (SELECT *, lag(state) OVER (PARTITION BY id, event_type ORDER BY sequence) AS prev FROM a),
+m AS (SELECT *, lag(state) OVER w AS old, lag(event_time) OVER w AS old_time FROM b WHERE state IS DISTINCT FROM prev WINDOW w AS (PARTITION BY id, event_type ORDER BY sequence)),
+ch AS (SELECT event_type, old AS level, old_time AS t, -1 AS diff FROM m WHERE old IS NOT NULL UNION ALL SELECT event_type, state, event_time, 1 FROM m WHERE state IS NOT NULL)
+SELECT event_type AS key, date_trunc('day', t) AS window_start, date_trunc('day', t) + INTERVAL 1 DAY AS window_end, CAST(sum(diff) AS BIGINT) AS count, CAST(sum(level * diff) AS DOUBLE) AS sum FROM ch GROUP BY ALL HAVING sum(diff) > 0""")
+def normalize_to_windows(spark, d):
+    """Changes of a normalised table forwarded as records: windows take old rows out at their own time."""
+    changes = changelog.normalize(table_changes(spark, d), ["id", "event_type"], ["level"], strict=False)
+    return windows.aggregate(forward(changes, "normalize", stream="levels", key="event_type", value=["level"]), windows.WindowSpec(DAY), "sum", F.col("value.level"))
+
+
 # Joins
 
 

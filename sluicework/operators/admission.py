@@ -145,8 +145,40 @@ def finality(partitions: list[dict], policy: StreamPolicy, before: float | None
     return {"basis": basis, "complete_through": max(marks) - policy.lateness, "idle": idle, "accepts_changes": policy.late_policy == "accept"}
 
 
-def lower_bound_check(records: DataFrame, declared: str, order: str = "sequence") -> DataFrame:
+def monotone(records: DataFrame, declared: str, order: str = "sequence") -> DataFrame:
     """Declared watermarks must not fall within a partition."""
     w = Window.partitionBy("partition").orderBy(order)
     rows = records.withColumn("_prev", F.lag(declared).over(w))
     return require(rows, F.coalesce(F.col(declared) >= F.col("_prev"), F.lit(True)), "a declared watermark fell").drop("_prev")
+
+
+def diagnose(partitions: list[dict], policy: StreamPolicy) -> dict:
+    """Which partitions hold the combined watermark back, and why it does not move."""
+    live = {i: p for i, p in enumerate(partitions) if not p.get("sealed") and not p.get("idle")}
+    silent = [i for i, p in live.items() if p.get("watermark") is None]
+    if not live:
+        reason = "sealed" if partitions and all(p.get("sealed") for p in partitions) else "all partitions idle"
+        return {"blocking": [], "reason": reason}
+    if silent:
+        return {"blocking": silent, "reason": "no declared watermark" if policy.watermark == "source_managed" else "no records yet"}
+    least = min(p["watermark"] for p in live.values())
+    return {"blocking": [i for i, p in live.items() if p["watermark"] == least], "reason": "least watermark"}
+
+
+def timer_due(at: float, watermark: float | None, *, sealed: bool = False) -> bool:
+    """An event-time timer fires by the raw watermark (not the frontier), or once input is sealed."""
+    return sealed or watermark is not None and watermark >= at
+
+
+def declare_complete(partitions: list[dict], through: float, policy: StreamPolicy) -> list[dict]:
+    """Partitions after a declaration that the stream is complete through a time: the watermark of
+    those that are not sealed becomes the time plus the lateness; a lower one is an error."""
+    mark = through + policy.lateness
+    out = []
+    for p in partitions:
+        if not p.get("sealed"):
+            if p.get("watermark") is not None and p["watermark"] > mark:
+                raise ValueError("a watermark does not fall")
+            p = p | {"watermark": mark, "declared": mark, "idle": False}
+        out.append(p)
+    return out

@@ -85,3 +85,10 @@ def limited(rows: DataFrame, limit: int) -> DataFrame:
     if rows.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows")
     return rows
+
+
+def winner_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Unit-weight changes from one set of winners to the next: losers leave (-1), then others enter."""
+    leave = before.exceptAll(after).select("*", F.lit("delete").alias("kind"), F.lit(-1).cast("long").alias("diff"))
+    enter = after.exceptAll(before).select("*", F.lit("insert").alias("kind"), F.lit(1).cast("long").alias("diff"))
+    return leave.unionByName(enter)

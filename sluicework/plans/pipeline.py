@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import key_group
 from ..operators import changelog, filters, joins, process, ranking, windows
 from ..schema import StreamPolicy, weight
 
@@ -28,6 +29,16 @@ class Node:
     run: Callable = field(compare=False, repr=False, default=None)
 
 
+def forward(changes: DataFrame, operator: str, *, stream: str, value: list[str], key: str = "key", partitions: int = 1) -> DataFrame:
+    """An operator's changes as records of a stream: kinds stay, ids are stable, equal keys share a
+    partition (a null key has partition 0), and no late policy applies."""
+    where = key_group(F.col(key), partitions).cast("int") if partitions > 1 else F.lit(0)
+    return changes.select(
+        F.lit(stream).alias("stream"), where.alias("partition"), "sequence", "event_time", F.col(key).cast("string").alias("key"), F.struct(*value).alias("value"), "kind",
+        F.concat_ws(":", F.lit("operator"), F.lit(operator), F.col("sequence").cast("string"), "kind").alias("event_id"),
+    )
+
+
 class Graph:
     """Streams and operators; each operator's output is a stream of the operator's name."""
 

@@ -81,6 +81,26 @@ def test_combined_watermark_idle_and_finality():
     assert admission.finality([{"watermark": 15, "sealed": True}, {"sealed": True}], policy) == {"basis": "sealed_input", "complete_through": math.inf, "idle": [], "accepts_changes": False}
 
 
+def test_diagnosis_timers_and_declared_completeness():
+    policy = StreamPolicy(partitions=2, watermark="source_managed", lateness=1)
+    assert admission.diagnose([{"watermark": 5}, {}], policy) == {"blocking": [1], "reason": "no declared watermark"}
+    assert admission.diagnose([{"watermark": 5}, {"watermark": 3}], policy)["blocking"] == [1]
+    assert admission.timer_due(21, 21) and not admission.timer_due(21, 20.9) and admission.timer_due(21, None, sealed=True)
+    done = admission.declare_complete([{"watermark": 5}, {"sealed": True}], 20, policy)
+    assert done[0]["watermark"] == 21 and done[1] == {"sealed": True}
+    with pytest.raises(ValueError, match="fall"):
+        admission.declare_complete(done, 3, policy)
+
+
+def test_forwarded_changes_keep_kinds_and_partitions(spark):
+    from sluicework.functions import fnv1a
+    from sluicework.plans.pipeline import forward
+
+    changes = spark.createDataFrame([("a", 1, at(1), 9, "insert"), (None, 2, at(2), 8, "delete")], "key string, sequence long, event_time timestamp_ntz, level int, kind string")
+    got = forward(changes, "n", stream="s", value=["level"], partitions=5).orderBy("sequence").collect()
+    assert [(r.partition, r.kind, r.event_id) for r in got] == [(fnv1a(b"a") % 5, "insert", "operator:n:1:insert"), (0, "delete", "operator:n:2:delete")]
+
+
 def test_interval_join_with_retraction(spark):
     left = records(spark, [("a", 10, ("login-a",)), ("b", 20, ("login-b",))], "struct<v:string>")
     right = records(spark, [("a", 12, ("purchase-a",)), ("a", 12, ("purchase-a",), "delete"), ("a", 14, ("purchase-country",)), ("a", 17, ("outside",)), ("b", 23, ("low",))], "struct<v:string>")
