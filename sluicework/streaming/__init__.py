@@ -1,7 +1,7 @@
 """Structured Streaming forms of the operators whose timing Spark has no built-in for.
 
-Windows, filters and interval joins run on streams as they are. The processors here hold state per key
-in the RocksDB state store (``configure`` sets it): de-duplication by earliest event time, temporal join
+Filters run on streams as they are; windows and interval joins use Spark's own stateful operators. The
+processors here hold state per key in the RocksDB state store (``configure`` sets it): de-duplication by earliest event time, temporal join
 with completeness, keyed folds, and changelogs of windowed aggregates that survive retractions.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import Interval
+from ..operators.windows import WindowSpec
 from .processors import AsOfJoin, FirstByTime, KeyedFold, RetractableMax
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +25,30 @@ def delay(seconds: float) -> str:
     return f"{round(seconds * 1000)} milliseconds"
 
 
+def final_windows(records: DataFrame, spec: WindowSpec, aggregation: str, *, disorder: float, lateness: float = 0.0) -> DataFrame:
+    """Each window of each key once, when the watermark passes its end and the lateness. Inputs: key,
+    event_time and value; insert-only. ``key``, ``window_start``, ``window_end``, ``count`` and the value."""
+    rows = records.select("key", F.col("event_time").cast("timestamp").alias("event_time"), F.col("value").cast("double").alias("value")).withWatermark("event_time", delay(disorder + lateness))
+    size, step = round(spec.size * 1000), round(spec.step * 1000)
+    window = F.window("event_time", f"{size} milliseconds", f"{step} milliseconds", f"{round(spec.origin * 1000) % step} milliseconds")
+    value = {"count": [], "sum": [F.sum("value").alias("sum")], "max": [F.max("value").alias("max")]}[aggregation]
+    out = rows.groupBy("key", window.alias("w")).agg(F.count("*").alias("count"), *value)
+    # Spark also forms windows that begin before the origin.
+    out = out.filter(F.unix_micros("w.start") >= round(spec.origin * 1_000_000))
+    return out.select("key", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count", *[c for c in ("sum", "max") if c == aggregation])
+
+
+def interval_join(left: DataFrame, right: DataFrame, bounds: Interval, *, disorder: float, lateness: float = 0.0) -> DataFrame:
+    """Pairs as soon as both sides are there; the watermarks and the bounds let Spark drop old state.
+    Inputs: key, event_time and body; ``key``, ``event_time`` (the later one), ``left`` and ``right``."""
+    wait = delay(disorder + lateness)
+    l = left.select(F.col("key"), F.col("event_time").cast("timestamp").alias("lt"), F.col("body").alias("left")).withWatermark("lt", wait)  # noqa: E741
+    r = right.select(F.col("key").alias("rk"), F.col("event_time").cast("timestamp").alias("rt"), F.col("body").alias("right")).withWatermark("rt", wait)
+    span = lambda s: F.expr(f"interval '{s:.6f}' second")
+    on = (F.col("key") == F.col("rk")) & (F.col("rt") >= F.col("lt") + span(bounds.lower)) & (F.col("rt") <= F.col("lt") + span(bounds.upper))
+    return l.join(r, on).select("key", F.greatest("lt", "rt").alias("event_time"), "left", "right")
+
+
 def deduplicate(records: DataFrame, *, disorder: float, lateness: float = 0.0) -> DataFrame:
     """``key``, ``event_time``, ``sequence`` and ``body`` of the first record of each key by (event
     time, sequence), once the watermark has passed it. ``records``: key, event_time, sequence, body."""

@@ -4,7 +4,9 @@ import datetime as dt
 import json
 
 from sluicework import streaming
+from sluicework.operators.joins import Interval
 from sluicework.operators.process import Process
+from sluicework.operators.windows import WindowSpec
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -69,3 +71,21 @@ def test_maximum_reveals_the_one_before(spark, tmp_path):
     df = stream(spark, tmp_path, [("k", 0, 90.0, 1), ("k", 1, 105.0, 1), ("k", 2, 105.0, -1), ("k", 3, 90.0, -1)], "key string, sequence long, value double, diff int")
     got = sorted(collect(spark, streaming.maximum(df), tmp_path, "out"), key=lambda r: (r.sequence, r.kind != "update_before"))
     assert [(r.kind, r.value) for r in got] == [("insert", 90), ("update_before", 90), ("update_after", 105), ("update_before", 105), ("update_after", 90), ("delete", 90)]
+
+
+def test_final_windows_fire_once_and_respect_the_origin(spark, tmp_path):
+    start = (BASE - dt.datetime(1970, 1, 1)).total_seconds()
+    rows = [("a", t(5), 90.0), ("b", t(8), 70.0), ("a", t(15), 105.0), ("b", t(18), 120.0), ("a", t(25), 98.0), ("c", t(50), 50.0), ("z", t(51), 0.0), ("z", t(52), 0.0)]
+    df = stream(spark, tmp_path, rows, "key string, event_time timestamp, value double")
+    got = collect(spark, streaming.final_windows(df, WindowSpec(30, 10, start), "max", disorder=5, lateness=5), tmp_path, "out")
+    assert sorted((r.key, (r.window_start - BASE).total_seconds(), r["max"], r["count"]) for r in got) == [("a", 0, 105, 3), ("a", 10, 105, 2), ("b", 0, 120, 2), ("b", 10, 120, 1)]
+
+
+def test_interval_join_on_streams(spark, tmp_path):
+    schema = "key string, event_time timestamp, body string"
+    (tmp_path / "l").mkdir()
+    (tmp_path / "r").mkdir()
+    left = stream(spark, tmp_path / "l", [("a", t(10), "login-a"), ("b", t(20), "login-b")], schema)
+    right = stream(spark, tmp_path / "r", [("a", t(14), "country"), ("a", t(17), "outside"), ("b", t(23), "low")], schema)
+    got = collect(spark, streaming.interval_join(left, right, Interval(0, 5), disorder=60), tmp_path, "out")
+    assert sorted((r.left, r.right) for r in got) == [("login-a", "country"), ("login-b", "low")]
