@@ -37,8 +37,8 @@ from .common import Staging, read_table
 
 LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM
-MOST_BLOCKS = 32_768
-CHUNK_BYTES, CHUNK_BLOCKS = 250_000, 8_192
+MOST_BLOCKS = 16_384
+CHUNK_BYTES, CHUNK_BLOCKS = 250_000, 4_096
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -186,11 +186,10 @@ class Blocks:
         order = self.sort()
         wide = np.minimum(self.size, LENGTH)
         # Verify: exact common extensions of neighbours; a false order falls back on the bytes.
-        right = np.full((n, LENGTH), 256, np.int16)
-        cell = np.arange(LENGTH)
-        inside = cell[None, :] < wide[:, None]
-        right[inside] = self.data[(self.anchor[:, None] + cell)[inside]]
-        right[~inside] = -1
+        right = np.full((n, LENGTH), -1, np.int16)
+        for c in range(LENGTH):
+            inside = np.flatnonzero(wide > c)
+            right[inside, c] = self.data[self.anchor[inside] + c]
         for turn in range(2):
             a, b = right[order[:-1]], right[order[1:]]
             differ = a != b
@@ -204,9 +203,9 @@ class Blocks:
         cut = np.ones(n, np.int64) * -1
         cut[1:] = np.where(self.group[order[1:]] == self.group[order[:-1]], shared, -1)
         left = np.full((n, SIDE), -1, np.int16)
-        cell = np.arange(SIDE)
-        inside = cell[None, :] < np.minimum(self.left, SIDE)[:, None]
-        left[inside] = self.data[(self.anchor[:, None] - 1 - cell)[inside]]
+        for c in range(SIDE):
+            inside = np.flatnonzero(self.left > c)
+            left[inside, c] = self.data[self.anchor[inside] - 1 - c]
         place = np.zeros(n, np.int64)
         for back in range(SIDE + 1):
             need = LENGTH - back
@@ -254,6 +253,7 @@ def compare_blocks(blocks: DataFrame) -> DataFrame:
                 whole = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
                 if whole:
                     yield solve(table.slice(0, whole))
+                    pa.default_memory_pool().release_unused()
                 held, rows = table.slice(whole).to_batches(), len(gram) - whole
         if rows:
             yield solve(pa.Table.from_batches(held))
@@ -369,8 +369,8 @@ def locate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     entries = shared.select("doc", code(0), no_bits).unionByName(first.select("doc", code(1), no_bits))
     entries = entries.unionByName(bits.select("doc", F.lit(None).cast("int").alias("code"), F.struct("pos", "bits").alias("part")))
     lists = staging.put(entries.groupBy("doc").agg(F.collect_list("code").alias("codes"), F.collect_list("part").alias("partly")), "entries")
-    staging.drop("shared")
-
+    for name in ("shared", "first", "blocks", "bits"):
+        staging.drop(name)
     s, e = source.alias("s"), lists.alias("e")
     return s.join(e, F.col("s.doc").eqNullSafe(F.col("e.doc")), "left").select("s.doc", "s.data", "e.codes", "e.partly")
 
