@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, code_points, is_word, mixed, prefix_hashes, runs, substring_hashes
 from .common import Staging, numbered, read_table, restored, whole
 
-BANDS, ROWS, SHINGLE, SIMILARITY = 32, 7, 5, 0.8
+BANDS, ROWS, SHINGLE, SIMILARITY = 40, 8, 5, 0.8
 BUCKETS = 1 << 16
 U64 = np.uint64
 
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = staging.put(meeting.drop("n").join(leader, "bucket"), "shared")
     first = staging.put(shared.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    texts = staging.put(source.join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    # The ids grow with the input: a merge join at every size, rather than a broadcast while they are few.
+    texts = staging.put(source.join(shared.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     found = staging.put(measured(first, texts, idf), "similarities")
     edges = found.filter(F.col("similarity") >= similarity).select("a", "b")
     labels = components(edges, staging, "labels-1")
@@ -280,16 +281,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = staging.put(own_weights(asked, idf), "own").withColumnRenamed("id", "node")
     common = F.col("weight") - F.coalesce("own", F.lit(0.0))
     apart = staging.put(apart.filter("far > 0").join(own, "node", "left").withColumn("common", common).filter(F.col("common") >= similarity * F.col("weight") - 1e-9), "open")
+    # A pair that shares several buckets is taken in the least of them alone.
+    mine = apart.groupBy("node").agg(F.collect_set("bucket").alias("mine"))
+    apart = staging.put(apart.join(mine, "node"), "open-buckets")
     slack = 1 - similarity + 1e-9
     cell = F.floor(F.col("far") / F.lit(slack)).cast("int")
-    one = apart.select("bucket", "main", "node", "weight", "common", "label", "far", cell.alias("cell"))
-    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    one = apart.select("bucket", "main", "node", "weight", "common", "label", "far", "mine", cell.alias("cell"))
+    rest = apart.filter("label != main").select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.col("mine").alias("mb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     enough = F.least("common", "cb") * (1 + similarity) >= similarity * (F.col("weight") + F.col("wb")) - 1e-9
     like = (F.abs(F.col("far") - F.col("fb")) <= slack) & enough
     once = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("b")))
     # Leaders, at distance 0, have met every node of their buckets.
     o, r = one.alias("o"), rest.alias("r")
-    second = o.join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like)
+    second = o.join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like & (F.array_min(F.array_intersect("mine", "mb")) == F.col("o.bucket")))
     second = staging.put(second.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-2")
     if second.limit(1).count():
         more = staging.put(measured(second, texts, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "edges-2")
@@ -311,7 +315,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("kept")).distinct()
     renamed, names = numbered(docs)
     key = names[id_col]
-    rows = renamed.join(kept, F.col(key) == F.col("kept"), "left_semi").dropDuplicates([key])
+    rows = renamed.join(kept.hint("merge"), F.col(key) == F.col("kept"), "left_semi").dropDuplicates([key])
     return restored(rows.unionByName(renamed.filter(F.col(key).isNull())), names)
 
 
