@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, code_points, is_word, mixed, prefix_hashes, runs, substring_hashes
-from .common import Staging, numbered, read_table, restored, whole
+from .common import Staging, numbered, read_table, release, restored, whole
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 8, 5, 0.8
 BUCKETS = 1 << 16
@@ -171,6 +171,8 @@ def word_idf(docs: DataFrame, text_col: str) -> np.ndarray:
             n = k
         else:
             df[bucket] = k
+    del counted
+    release()
     return np.log((n + 1) / (df + 1)) + 1
 
 

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, code_points, runs, word_hashes
-from .common import numbered, read_table, restored, whole
+from .common import numbered, read_table, release, restored, whole
 
-FIT_ROWS, FIT_CHARS = 5_000, 40_000
+FIT_ROWS, FIT_CHARS = 3_000, 40_000
 PASSAGE = 600
 HIDDEN, GATE = 24, 12
 #: Character classes; letters, digits and white space come from Unicode.
@@ -148,12 +148,12 @@ class AttentionModel:
         rng = np.random.default_rng(seed)
         if not len(texts):
             texts, labels = [""], np.array([0.5])
-        parts = [features(texts[a:b]) for a, b in chunks(texts)]
-        x, counts = np.concatenate([f for f, _ in parts]).astype(np.float64), np.concatenate([c for _, c in parts])
+        parts = [features(texts[a:b]) for a, b in chunks(texts, 200_000)]
+        x, counts = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
         first = np.concatenate([[0], np.cumsum(counts)])
         base = float(np.clip(labels.mean(), 0.02, 0.98))
         p = {
-            "mean": x.mean(0), "scale": x.std(0) + 0.02,
+            "mean": x.mean(0, dtype=np.float64), "scale": x.std(0, dtype=np.float64) + 0.02,
             "w": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
             "a": rng.normal(0, 0.3, GATE), "o": rng.normal(0, 0.1, HIDDEN), "c": np.array([np.log(base / (1 - base))]),
         }
@@ -226,7 +226,10 @@ def kept(docs: DataFrame, score, least: float, *, text_col: str = "text") -> Dat
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     texts, y = labelled_sample(docs, labels, "quality", keep=remainder("doc_id", 5) != 0)
-    return AttentionModel.fit(texts, y)
+    model = AttentionModel.fit(texts, y)
+    del texts
+    release()
+    return model
 
 
 def op5(spark, sf_dir):
