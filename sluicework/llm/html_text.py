@@ -1,8 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Every page is parsed once into containers and text blocks. Containers are scored by the text of their
-blocks without that in links, and the deepest container that holds most of it votes, with its
-generalised tag-and-class path, for its host. Votes are counted in Spark (summed before the shuffle,
+Every page is parsed once into containers and text blocks. The lowest container that holds every clean
+block of the article (see ``Page.best``) votes, with its generalised tag-and-class path, for its host. Votes are counted in Spark (summed before the shuffle,
 so a host with a third of all pages costs one row a task). Then each page is extracted anew from the
 containers with its host's winning path, or from its own best container where it has none.
 
@@ -25,6 +24,7 @@ from .common import Staging, read_table
 # HTML element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div article main section td center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tr th tbody thead tfoot caption figure figcaption address hr header footer nav aside form fieldset details summary dialog menu".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu object canvas audio video label".split())
 CLOSES_P = BLOCKS - {"html", "body"}
@@ -49,11 +49,12 @@ DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Containers as (parent, path, dropped) and blocks as (container, text, characters in links)."""
+    """Containers as (parent, path, dropped) and blocks as (container, text, characters in links, heading)."""
 
     def __init__(self, source: str):
         self.containers: list[tuple[int, str, bool]] = [(-1, "", False)]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.articles: set[int] = set()
         # Open elements: (tag, container, dropped, in an article)
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         text: list[str] = []
@@ -64,11 +65,11 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if text:
-                _, container, dropped, _ = stack[-1]
+                tag, container, dropped, _ = stack[-1]
                 if not dropped:
                     words = " ".join(html.unescape("".join(text)).split())
                     if words:
-                        self.blocks.append((container, words, min(linked, len(words))))
+                        self.blocks.append((container, words, min(linked, len(words)), tag in HEADINGS))
                 text.clear()
             linked = 0
 
@@ -125,34 +126,49 @@ class Page:
                 label = ".".join([name, *sorted(DIGITS.sub("#", marks.get("class", "")).split())[:3]])
                 self.containers.append((container, f"{self.containers[container][1]}/{label}", dropped))
                 container = len(self.containers) - 1
+                if name in ("article", "main"):
+                    self.articles.add(container)
             stack.append((name, container, dropped, inside or name in ("article", "main")))
         if at < len(source):
             text.append(source[at:])
         flush()
-        self.own = [0] * len(self.containers)
-        for container, words, in_links in self.blocks:
-            self.own[container] += len(words) - in_links
-
-    def best(self, share: float = 0.7) -> int:
-        """The deepest container that holds ``share`` of the unlinked text of the page."""
-        total = self.own.copy()
-        for i in range(len(total) - 1, 0, -1):
-            total[self.containers[i][0]] += total[i]
-        need, at = share * total[0], 0
-        for i in range(1, len(total)):
-            if self.containers[i][0] == at and total[0] and total[i] >= need:
-                at = i
-        return at
 
-    def inside(self, roots: set[int]) -> str:
+    def best(self) -> int:
+        """The lowest container that holds every clean block of the article; -1 without such blocks.
+
+        Clean blocks are not mostly links. Where article and main elements hold most of the unlinked text,
+        the article is what they hold and the headings beside them; else it is all clean blocks. A single
+        short word (a counter, a sign) does not widen the article unless it is a heading.
+        """
+        clean = [(c, words, linked, heading) for c, words, linked, heading in self.blocks if 2 * linked < len(words)]
+        if self.articles:
+            held = self.held(self.articles)
+            inside = sum(len(words) - linked for c, words, linked, _ in clean if held[c])
+            if 2 * inside >= sum(len(words) - linked for _, words, linked, _ in clean):
+                clean = [b for b in clean if held[b[0]] or b[3]]
+        found = {c for c, words, _, heading in clean if heading or " " in words or len(words) > 20} or {c for c, *_ in clean}
+        if not found:
+            return -1
+        # Parents come before their children: the last one is raised until one is left.
+        while len(found) > 1:
+            last = max(found)
+            found.remove(last)
+            found.add(self.containers[last][0])
+        return found.pop()
+
+    def held(self, roots: set[int]) -> list[bool]:
         held = [False] * len(self.containers)
         for i, (parent, _, _) in enumerate(self.containers):
             held[i] = i in roots or parent >= 0 and held[parent]
-        return "\n\n".join(words for container, words, _ in self.blocks if held[container])
+        return held
+
+    def inside(self, roots: set[int]) -> str:
+        held = self.held(roots)
+        return "\n\n".join(words for container, words, *_ in self.blocks if held[container])
 
     def text(self, path: str | None) -> str:
         roots = {i for i, c in enumerate(self.containers) if c[1] == path and not c[2]} if path else set()
-        return roots and self.inside(roots) or self.inside({self.best()})
+        return roots and self.inside(roots) or self.inside({max(self.best(), 0)})
 
 
 def host_of(url):
@@ -167,11 +183,12 @@ def consensus_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "
             found = []
             for source in batch.column(1).to_pylist():
                 page = Page(source)
-                found.append(page.containers[page.best()][1])
+                best = page.best()
+                found.append(page.containers[best][1] if best >= 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html")).mapInArrow(vote, "host string, path string")
-    counted = votes.filter("path != ''").groupBy("host", "path").count()
+    counted = votes.filter("path is not null").groupBy("host", "path").count()
     # max of a struct keeps one row for each host without sorting a host's paths.
     best = counted.groupBy("host").agg(F.max(F.struct("count", F.length("path").alias("size"), F.col("path"))).alias("best"))
     return best.select("host", "best.path")

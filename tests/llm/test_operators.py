@@ -182,6 +182,22 @@ def test_html_consensus_beats_a_page_of_long_asides(spark):
     assert got[9] == "short"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article>",
+        "<body><div class=title><h1>Title</h1></div><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div>",
+        "<div class=title><h1>Title</h1></div><div class=lead>{lead}</div><div class=body><p>{body}</p></div>",
+        "<body><div><h1>Title</h1></div><main><div class=lead>{lead}</div><div class=body><p>{body}</p></div></main><div>not of the article</div>",
+    ],
+)
+def test_html_keeps_titles_and_leads_beside_the_largest_container(spark, page):
+    lead, body = "lead words " * 20, "body words " * 80
+    rows = [(i, "http://h.example/", page.format(lead=lead, body=body)) for i in range(3)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith(f"Title\n\n{lead.strip()}\n\n{body.strip()}") for r in got)
+
+
 @pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op5_attention_quality", "quality", 5, 0, 0.3), ("op8_string_kernel_toxicity", "toxic", 3, 1, 0.7)])
 def test_classifiers_on_held_out_labels(spark, name, label, folds, held, least):
     got = queries.queries()[name](spark, "/root/testdata/sf0.1").join(common.read_table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
