@@ -28,11 +28,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tr th tbody thead tfoot caption figure figcaption address hr header footer nav aside form fieldset details summary dialog menu".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu object canvas audio video label".split())
 CLOSES_P = BLOCKS - {"html", "body"}
-# Words in class, id and role that mark what is not the article.
+# Whole tokens of class, id and role that mark what is not the article.
 BOILERPLATE = frozenset("""nav navbar navigation menu menubar footer header masthead sidebar side aside ad ads advert adverts advertisement banner promo
 promotion sponsor sponsored cookie cookies consent notice notices alert popup modal overlay toast comment comments commentlist respond reply replies disqus
 share sharing social breadcrumb breadcrumbs related recommended newsletter subscribe subscription signup login search pagination pager widget
-contentinfo complementary toolbar skip""".split())
+contentinfo complementary toolbar skip
+sidebar-left sidebar-right left-sidebar right-sidebar sidebar-primary sidebar-secondary primary-sidebar secondary-sidebar main-sidebar side-bar
+nav-bar nav-menu nav-links main-nav top-nav side-nav sub-nav site-nav footer-nav main-menu top-menu side-menu main-navigation site-navigation post-navigation
+skip-link site-header site-footer page-footer main-footer footer-widgets cookie-banner cookie-notice cookie-consent cookie-bar
+comment-list comments-list comments-area comment-form comment-respond related-posts related-articles related-links recommended-posts
+share-buttons share-links social-links social-share social-media newsletter-signup newsletter-form newsletter-box
+ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper ads-container advert-box sponsored-content promo-box
+search-form search-box search-bar login-form signup-form subscribe-form widget-area""".split())
+# Marks of reader comments, which are often article elements themselves.
+COMMENTS = frozenset("comment comments commentlist comment-list comments-list comments-area respond reply replies disqus".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,10 +53,16 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-WORD = re.compile(r"[a-z]+")
+NUMBER = re.compile(r"-*\d+$")
 DIGITS = re.compile(r"\d+")
 
 
+def marks_in(values) -> set[str]:
+    """The boilerplate tokens of class, id and role: whole ones, but for a number at their end."""
+    tokens = {NUMBER.sub("", t.replace("_", "-")) for v in values for t in v.split()}
+    return tokens & BOILERPLATE
+
+
 class Page:
     """Containers as (parent, path, dropped) and blocks as (container, text, characters in links, heading)."""
 
@@ -55,8 +70,13 @@ class Page:
         self.containers: list[tuple[int, str, bool]] = [(-1, "", False)]
         self.blocks: list[tuple[int, str, int, bool]] = []
         self.articles: set[int] = set()
-        # Open elements: (tag, container, dropped, in an article)
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # Elements marked as boilerplate: (the marked one around it, marked as comments, in an article); 0 is none.
+        self.marks: list[tuple[int, bool, bool]] = [(0, False, False)]
+        block_marks: list[int] = []
+        container_marks = [0]
+        mains: set[int] = set()
+        # Open elements: (tag, container, dropped, in an article, mark)
+        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
         text: list[str] = []
         linked = 0
         links = 0
@@ -65,11 +85,12 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if text:
-                tag, container, dropped, _ = stack[-1]
+                tag, container, dropped, _, mark = stack[-1]
                 if not dropped:
                     words = " ".join(html.unescape("".join(text)).split())
                     if words:
                         self.blocks.append((container, words, min(linked, len(words)), tag in HEADINGS))
+                        block_marks.append(mark)
                 text.clear()
             linked = 0
 
@@ -114,24 +135,85 @@ class Page:
             top = stack[-1][0]
             if top == "p" and name in CLOSES_P or top == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
-            _, container, dropped, inside = stack[-1]
+            _, container, dropped, inside, mark = stack[-1]
             attributes = m[4]
             marks: dict[str, str] = {}
             if attributes and not attributes.isspace():
                 marks = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTRIBUTE.findall(attributes)}
                 if not dropped and name not in ("html", "body"):
-                    dropped = any(w in BOILERPLATE for v in marks.values() for w in WORD.findall(v)) or HIDDEN.search(attributes) is not None
+                    dropped = HIDDEN.search(attributes) is not None
+                    if name not in HEADINGS and name not in ("article", "main"):
+                        tokens = marks_in(marks.values())
+                        # The header of an article holds its title.
+                        if tokens - {"header"} if inside else tokens:
+                            self.marks.append((mark, not tokens.isdisjoint(COMMENTS), inside))
+                            mark = len(self.marks) - 1
             dropped = dropped or name in DROPPED or name == "header" and not inside
             if name in CONTAINERS:
                 label = ".".join([name, *sorted(DIGITS.sub("#", marks.get("class", "")).split())[:3]])
                 self.containers.append((container, f"{self.containers[container][1]}/{label}", dropped))
                 container = len(self.containers) - 1
+                container_marks.append(mark)
                 if name in ("article", "main"):
                     self.articles.add(container)
-            stack.append((name, container, dropped, inside or name in ("article", "main")))
+                    if name == "main":
+                        mains.add(container)
+            stack.append((name, container, dropped, inside or name in ("article", "main"), mark))
         if at < len(source):
             text.append(source[at:])
         flush()
+        if len(self.marks) > 1:
+            kept = self.kept_marks(block_marks, container_marks, mains)
+            self.blocks = [b for b, mark in zip(self.blocks, block_marks, strict=True) if kept[mark]]
+            self.containers = [(parent, path, dropped or not kept[mark]) for (parent, path, dropped), mark in zip(self.containers, container_marks, strict=True)]
+            self.articles = {i for i in self.articles if not self.containers[i][2]}
+
+    def kept_marks(self, block_marks: list[int], container_marks: list[int], mains: set[int]) -> list[bool]:
+        """Which marked elements hold the article and are kept, so that a wrapper's name does not lose it.
+
+        Those around a main element; where no article element has text outside all others, those around
+        the longest article; and there or inside an article, those with most of the unlinked text. Comments
+        are only kept where nothing else is left.
+        """
+        parents = [parent for parent, *_ in self.marks]
+        size = [0] * len(self.marks)
+        own = [0] * len(self.containers)
+        for (container, words, linked, _), mark in zip(self.blocks, block_marks, strict=True):
+            size[mark] += len(words) - linked
+            own[container] += len(words) - linked
+        outside = size[0]
+        for i in range(len(size) - 1, 0, -1):
+            size[parents[i]] += size[i]
+        for i in range(len(own) - 1, 0, -1):
+            own[self.containers[i][0]] += own[i]
+        lifted = [True] + [False] * (len(size) - 1)
+
+        def lift(mark: int) -> None:
+            while mark:
+                lifted[mark] = True
+                mark = parents[mark]
+
+        def in_comments(mark: int) -> bool:
+            while mark and not self.marks[mark][1]:
+                mark = parents[mark]
+            return mark > 0
+
+        for i in mains:
+            lift(container_marks[i])
+        articles = [i for i in self.articles if own[i] and not self.containers[i][2]]
+        held = self.held(set(articles))
+        found = any(held[b[0]] and lifted[mark] for b, mark in zip(self.blocks, block_marks, strict=True))
+        wrapped = [] if found else [i for i in articles if not in_comments(container_marks[i])]
+        if wrapped:
+            lift(container_marks[max(wrapped, key=lambda i: own[i])])
+        for mark in range(1, len(size)):
+            most = 2 * size[mark] > size[0] and (self.marks[mark][2] or not found)
+            if most and not in_comments(mark) or size[mark] == size[0] and not outside and not wrapped:
+                lift(mark)
+        kept = [True]
+        for mark in range(1, len(size)):
+            kept.append(lifted[mark] and kept[parents[mark]])
+        return kept
 
     def best(self) -> int:
         """The lowest container that holds every clean block of the article; -1 without such blocks.

@@ -198,6 +198,18 @@ def test_html_keeps_titles_and_leads_beside_the_largest_container(spark, page):
     assert all(r.text.startswith(f"Title\n\n{lead.strip()}\n\n{body.strip()}") for r in got)
 
 
+def test_html_marks_are_whole_tokens_and_do_not_lose_the_article():
+    body = "body words " * 40
+    for wrapper in ("page has-sidebar", "layout-sidebar-right", "article no-comments", "sidebar", "notice"):
+        page = f"<body><div class='{wrapper}'><article><div class=header><h1 id=related-work>Title</h1></div><h2 id=notice>Part</h2><p>{body}</p></article></div><div class='sidebar-left'>side</div><div id=comments><article><p>nice</p></article></div>"
+        assert html_text.Page(page).text(None) == f"Title\n\nPart\n\n{body.strip()}"
+    for name in ("search-results", "side-effects", "notice"):
+        assert html_text.Page(f"<body><div id={name}><h2>Part</h2><p>{body}</p></div><div class=ad_2>buy this</div>").text(None) == f"Part\n\n{body.strip()}"
+    assert html_text.Page(f"<body><main><h1>Title</h1><div class=notice>{body}</div></main>").text(None) == f"Title\n\n{body.strip()}"
+    assert html_text.Page(f"<body><article>short post</article><div class=sidebar>{body}</div>").text(None) == "short post"
+    assert html_text.Page(f"<body><div class=post><p>short post</p></div><div class=comments><article>{body}</article></div>").text(None) == "short post"
+
+
 @pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op5_attention_quality", "quality", 5, 0, 0.3), ("op8_string_kernel_toxicity", "toxic", 3, 1, 0.7)])
 def test_classifiers_on_held_out_labels(spark, name, label, folds, held, least):
     got = queries.queries()[name](spark, "/root/testdata/sf0.1").join(common.read_table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
