@@ -2,9 +2,12 @@
 
 Texts become weighted sets of five-word shingles: a shingle weighs its count times the mean inverse
 document frequency of its words. Each shingle is dealt by its hash to one of ``BANDS * ROWS`` bins, and
-improved consistent weighted sampling (Ioffe 2010) draws one shingle of each bin; an empty bin takes
-over the draw of another bin chosen by hash. Two texts draw the same in a bin about as often as their
-weighted Jaccard similarity. Texts that agree on a whole band are candidates, and every candidate is
+improved consistent weighted sampling (Ioffe 2010) draws one shingle of each bin; for an empty bin the
+shingles of another bin, chosen by hash, are drawn from anew with lots of the empty bin. Where few shingles
+hold most of the weight, as in looping texts, every bin draws from all shingles with lots of its own: one
+bin a shingle would not weigh them. This goes by band: each has its own limit of the effective number of
+shingles, so that two like texts on two sides of a limit still meet in other bands. Two texts draw the
+same in a bin about as often as their weighted Jaccard similarity. Texts that agree on a whole band are candidates, and every candidate is
 verified by its exact weighted Jaccard similarity.
 
 Shape of the work: equal word sequences are one node from the start. In a bucket, all nodes are
@@ -42,6 +45,8 @@ from .common import Staging, numbered, read_table, release, restored, whole
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 8, 5, 0.8
 BUCKETS = 1 << 16
 U64 = np.uint64
+#: Effective numbers of shingles up to which each band draws from all of them.
+DENSE = 16 * 4 ** ((np.arange(BANDS) + 0.5) / BANDS)
 
 
 def words_of(texts: list[str]):
@@ -93,32 +98,69 @@ def uniform(h: np.ndarray, seed: int) -> np.ndarray:
     return (mixed(h + U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def draws(h: np.ndarray, log_w: np.ndarray, lot: np.ndarray | None = None):
+    """(level, value) of the consistent weighted draw of each shingle; the least level wins.
+
+    ``lot`` numbers independent draws of the same shingle.
+    """
+    seed = h if lot is None else mixed(h ^ mixed(lot.astype(U64) + U64(0x632BE59BD9B4E019)))
+    r = -np.log(uniform(seed, 1) * uniform(seed, 2))
+    c = -np.log(uniform(seed, 3) * uniform(seed, 4))
+    beta = uniform(seed, 5)
+    t = np.floor(log_w / r + beta)
+    return np.log(c) - r * (t - beta) - r, mixed(h + t.astype(np.int64).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
+def winners(level: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value of the least level of each run; runs begin at ``first`` and are not empty."""
+    size = np.diff(np.append(first, len(level)))
+    won = np.flatnonzero(level == np.repeat(np.minimum.reduceat(level, first), size))
+    out = np.zeros(len(first), U64)
+    out[np.searchsorted(first, won, side="right") - 1] = value[won]
+    return out
+
+
 def band_hashes(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     """(texts x BANDS) hashes of the consistent weighted samples of each band."""
     bins = BANDS * ROWS
-    key = doc * bins + (mixed(h ^ U64(0x5851F42D4C957F2D)) % U64(bins)).astype(np.int64)
-    r = -np.log(uniform(h, 1) * uniform(h, 2))
-    c = -np.log(uniform(h, 3) * uniform(h, 4))
-    beta = uniform(h, 5)
-    t = np.floor(np.log(w) / r + beta)
-    level = np.log(c) - r * (t - beta) - r
-    least = np.full(n * bins, np.inf)
-    np.minimum.at(least, key, level)
-    won = level == least[key]
-    sample = np.zeros(n * bins, U64)
-    sample[key[won]] = mixed(h[won] + t[won].astype(np.int64).astype(U64) * U64(0x2545F4914F6CDD1D))
-    full = np.isfinite(least).reshape(n, bins)
-    sample = sample.reshape(n, bins)
-    out = sample.copy()
-    some = full.any(1)
-    row, col = np.nonzero(~full & some[:, None])
-    turn = 0
-    while len(row):
-        turn += 1
-        other = (mixed(col.astype(U64) * U64(1000003) + U64(turn)) % U64(bins)).astype(np.int64) if turn < 400 else (col + turn) % bins
-        ok = full[row, other]
-        out[row[ok], col[ok]] = sample[row[ok], other[ok]]
-        row, col = row[~ok], col[~ok]
+    out = np.zeros((n, bins), U64)
+    log_w = np.log(w)
+    total, squares = (np.bincount(doc, weights=x, minlength=n).astype(float) for x in (w, w * w))
+    # The first band that draws from all shingles; texts without shingles need none.
+    dense = np.where(squares > 0, np.searchsorted(DENSE, total * total / np.maximum(squares, 1e-300)), 0)
+    # One draw for each bin that holds shingles.
+    some = dense[doc] > 0
+    key = doc[some] * bins + (mixed(h[some] ^ U64(0x5851F42D4C957F2D)) % U64(bins)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], np.flatnonzero(some)[order]
+    if len(key):
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        at = np.full(n * bins, -1)
+        at[key[first]] = np.arange(len(first))
+        out.ravel()[key[first]] = winners(*draws(h[of], log_w[of]), first)
+        full = (at >= 0).reshape(n, bins)
+        row, col = np.nonzero(~full & (np.arange(bins)[None, :] < dense[:, None] * ROWS))
+        turn = 0
+        while len(row):
+            turn += 1
+            other = (mixed(col.astype(U64) * U64(1000003) + U64(turn)) % U64(bins)).astype(np.int64) if turn < 400 else (col + turn) % bins
+            ok = full[row, other]
+            if ok.any():
+                run = at[row[ok] * bins + other[ok]]
+                many = size[run]
+                begin = np.cumsum(many) - many
+                take = of[np.arange(many.sum()) - np.repeat(begin, many) + np.repeat(first[run], many)]
+                out[row[ok], col[ok]] = winners(*draws(h[take], log_w[take], np.repeat(col[ok], many)), begin)
+            row, col = row[~ok], col[~ok]
+    # A draw from all shingles for every bin of the other bands.
+    for band in range(BANDS):
+        take = np.flatnonzero(dense[doc] <= band)
+        if len(take):
+            own = doc[take]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for col in range(band * ROWS, band * ROWS + ROWS):
+                out[own[first], col] = winners(*draws(h[take], log_w[take], np.array([col])), first)
     bands = np.zeros((n, BANDS), U64)
     grouped = out.reshape(n, BANDS, ROWS)
     for j in range(ROWS):

@@ -160,6 +160,22 @@ def test_leaders_do_not_hide_links_between_other_members(spark):
     assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_looped_texts_with_scaled_counts_share_bands():
+    """Pairs with 1 to 12 distinct shingles whose counts all scale by 0.85, and pairs of one loop with other beginnings."""
+    rng = np.random.default_rng(5)
+    shared = collections.Counter()
+    for trial in range(60):
+        for k in (1, 5, 12):
+            h = np.sort(rng.integers(0, 1 << 63, k).astype(np.uint64))
+            w = rng.uniform(1, 9, k) * 100
+            bands = near_dups.band_hashes(np.repeat([0, 1], k), np.tile(h, 2), np.concatenate([w, w * 0.85]), 2)
+            shared[k] += bool((bands[0] == bands[1]).any())
+        loop, rest = rng.integers(0, 1 << 63, 8).astype(np.uint64), rng.integers(0, 1 << 63, (2, 200)).astype(np.uint64)
+        bands = near_dups.band_hashes(np.repeat([0, 1], 208), np.concatenate([loop, rest[0], loop, rest[1]]), np.tile(np.repeat([1000.0, 1.0], [8, 200]), 2), 2)
+        shared["loop"] += bool((bands[0] == bands[1]).any())
+    assert all(shared[k] == 60 for k in (1, 5, 12, "loop"))
+
+
 PAGE = """<html><head><title>t</title></head><body><header class="site">Top</header><div id=menu><a href=x>a</a></div>
 <div class="wrap c12"><article class="post body-{n}"><header><h1>Tit&eacute;l {n}</h1></header><p>Hello <b>big</b>
  world&nbsp;{n}<p>Second para with <a href="x">link</a> text <!-- no --><ul><li>one<li>two &lt;3</ul><div class="ad">buy</div>
