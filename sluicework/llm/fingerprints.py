@@ -12,7 +12,7 @@ terms the corpus has: what is sent to the executors is a bitmap of fixed size. T
 bucket share a frequency, which adds the corpus-wide mean of rare terms to each; ``low`` stands above
 that, as a share of all documents.
 
-Edge cases: a null text is the empty text; a text without lexicon terms has one hash over all its
+Edge cases: a null text is the empty text; a text without terms in any sub-lexicon has one hash over all its
 terms; an empty text has no hash at all, its likeness is 1 to another such text and 0 to others;
 repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
@@ -66,14 +66,14 @@ class Lexicon:
 
 
 def hashes(known: Column, draw: Column, term_hash: Column) -> list[Column]:
-    """Aggregates over exploded terms: each sub-lexicon's hash, the hash of all terms, and how many
-    are in the lexicon. ``known``: the term's hash, null outside the lexicon; ``draw``: its lots."""
+    """Aggregates over exploded terms: each sub-lexicon's hash, and the hash of all terms.
+    ``known``: the term's hash, null outside the lexicon; ``draw``: its lots."""
     out, at = [], 0
     for power, count in SUBSETS:
         lot = F.shiftrightunsigned(draw, at).bitwiseAND((1 << power) - 1)
         out += [F.bit_xor(F.when(lot == i, known)) for i in range(count)]
         at += power
-    return [F.array(*out), F.bit_xor(term_hash), F.count(known)]
+    return [F.array(*out), F.bit_xor(term_hash)]
 
 
 def as_text(prints: Column) -> Column:
@@ -135,11 +135,11 @@ def fingerprint_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     both = both.select("row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("body")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("body")))).alias("v"))
     each = both.select("row", "doc_id", "n_chars", "edited_sha256", "v.is_edited", F.explode_outer(terms(F.col("v.body"))).alias("t"))
     each = each.select("row", "doc_id", "n_chars", "edited_sha256", "is_edited", F.when(F.col("t") != "", F.xxhash64("t")).alias("term_hash"), F.when(F.col("t") != "", lexicon.has(F.col("t"))).alias("has"), F.xxhash64("t", F.lit(1)).alias("draw"))
-    subsets, all_terms, known = hashes(F.when(F.col("has"), F.col("term_hash")), F.col("draw"), F.col("term_hash"))
-    hashed = each.groupBy("row", "doc_id", "n_chars", "edited_sha256", "is_edited").agg(subsets.alias("subsets"), all_terms.alias("all_terms"), known.alias("known"))
+    subsets, all_terms = hashes(F.when(F.col("has"), F.col("term_hash")), F.col("draw"), F.col("term_hash"))
+    hashed = each.groupBy("row", "doc_id", "n_chars", "edited_sha256", "is_edited").agg(subsets.alias("subsets"), all_terms.alias("all_terms"))
     width_of = sum(count for _, count in SUBSETS)
     fallback = F.concat(F.array("all_terms"), F.array_repeat(F.lit(None).cast("long"), width_of - 1))
-    prints = F.when(F.col("known") > 0, F.col("subsets")).otherwise(fallback)
+    prints = F.when(F.exists("subsets", lambda h: h.isNotNull()), F.col("subsets")).otherwise(fallback)
     rows = hashed.groupBy("row", "doc_id", "n_chars", "edited_sha256").agg(F.max(F.when(~F.col("is_edited"), prints)).alias("prints"), F.max(F.when(F.col("is_edited"), prints)).alias("edited_prints"))
     rows = with_next(rows.drop("row"), "doc_id", ["prints"], cuts)
     return rows.select(

@@ -107,6 +107,14 @@ def test_fingerprints(spark):
     assert clear > 0.9 * len(ids)
 
 
+def test_fingerprints_of_short_texts_differ(spark):
+    """One lexicon term a text, many of which are in no sub-lexicon, and the empty text."""
+    rows = [(i, f"term{i // 2}") for i in range(200)] + [(200, "")]
+    got = fingerprints.fingerprint_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) == 101
+    assert all(r.near_next == (r.doc_id % 2 == 0 and r.doc_id < 200) for r in got)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     docs = docs_of(spark, MIDDLE)
     got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
