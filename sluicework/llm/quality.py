@@ -5,12 +5,14 @@ a small network; gated attention weighs the encodings, and the weighted sum is s
 labels are needed: the attention learns which passages carry the label. Every passage of every whole
 text is encoded and weighed.
 
-The network is fitted on the driver, with numpy, on a bounded sample (``FIT_ROWS`` labelled rows of
-at most ``FIT_CHARS`` characters, in the order of a hash of the id). Scoring is a map over the rows.
+The network is fitted on the driver, with numpy, on a bounded sample (``FIT_ROWS`` labelled rows, in
+the order of a hash of the id, with all their passages). Passages are encoded where the texts are
+read; the driver gets the encodings alone. Scoring is a map over the rows.
 
 Edge cases: a null or empty text is one empty passage and gets a score; without labelled rows every
 score is 0.5; repeated rows each get a row; a document with several labels counts as bad if any says
-so; an empty table gives an empty result; other columns are ignored.
+so; of several texts with one id the least is learned from; rows with a null id are never learned from
+and count as held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, code_points, runs, word_hashes
 from .common import numbered, read_table, release, restored, whole
 
-FIT_ROWS, FIT_CHARS = 3_000, 40_000
+FIT_ROWS = 3_000
 PASSAGE = 600
 HIDDEN, GATE = 24, 12
 #: Character classes; letters, digits and white space come from Unicode.
@@ -144,12 +146,16 @@ class AttentionModel:
         return out
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, *, epochs: int = 40, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 5) -> AttentionModel:
-        rng = np.random.default_rng(seed)
-        if not len(texts):
-            texts, labels = [""], np.array([0.5])
+    def fit(cls, texts: list[str], labels: np.ndarray, **options) -> AttentionModel:
         parts = [features(texts[a:b]) for a, b in chunks(texts, 200_000)]
-        x, counts = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+        if not parts:
+            return cls.fit_passages(*features([""]), np.array([0.5]), **options)
+        return cls.fit_passages(np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts]), labels, **options)
+
+    @classmethod
+    def fit_passages(cls, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, *, epochs: int = 40, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 5) -> AttentionModel:
+        """Fit to encoded passages, ``counts`` of them for each label."""
+        rng = np.random.default_rng(seed)
         first = np.concatenate([[0], np.cumsum(counts)])
         base = float(np.clip(labels.mean(), 0.02, 0.98))
         p = {
@@ -160,7 +166,7 @@ class AttentionModel:
         model = cls(p)
         m, v, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
         for epoch in range(epochs if len(set(labels.tolist())) > 1 else 0):
-            order = rng.permutation(len(texts))
+            order = rng.permutation(len(counts))
             lr = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for s in range(0, len(order), batch):
                 take = order[s : s + batch]
@@ -184,15 +190,19 @@ def remainder(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, keep, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS, how=F.min) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, taken in the order of a hash of the id; collects only these.
+def held_out(id_col: str, folds: int, fold: int):
+    """Whether a row is kept from learning; those with a null id are."""
+    return F.coalesce(remainder(id_col, folds) == fold, F.lit(True))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *, keep, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, how=F.min) -> DataFrame:
+    """id, y, text of at most ``rows`` labelled rows, taken in the order of a hash of the id.
 
     The ids are chosen first, so that what is sent to the tasks that read the texts is bounded.
     """
-    chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & keep).groupBy(id_col).agg(how(label).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.select(F.col(id_col), whole(text_col).alias("t")).filter(F.length("t") <= chars)
-    found = texts.join(F.broadcast(chosen), id_col).select(id_col, "t", "y").dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).collect()
-    return [r["t"] for r in found], np.array([float(r["y"]) for r in found])
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & keep).groupBy(F.col(id_col).alias("id")).agg(how(label).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
 
 def scored(docs: DataFrame, score, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -225,9 +235,22 @@ def kept(docs: DataFrame, score, least: float, *, text_col: str = "text") -> Dat
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionModel:
-    texts, y = labelled_sample(docs, labels, "quality", keep=remainder("doc_id", 5) != 0)
-    model = AttentionModel.fit(texts, y)
-    del texts
+    def encode(batches):
+        for batch in batches:
+            found = [features([text])[0] for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "y", "x"])
+
+    chosen = labelled_texts(docs, labels, "quality", keep=~held_out("doc_id", 5, 0))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = chosen.mapInArrow(encode, f"id {kind}, y double, x binary").orderBy(F.xxhash64("id"), "id").select("y", "x").toArrow()
+    if not len(rows):
+        return AttentionModel.fit([], np.zeros(0))
+    sizes = np.array([len(x) // (4 * FEATURES) for x in rows.column("x").to_pylist()])
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
+    y = rows.column("y").to_numpy()
+    del rows
+    model = AttentionModel.fit_passages(x, sizes, y)
+    del x
     release()
     return model
 
@@ -236,4 +259,4 @@ def op5(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
     out = scored(docs, model.score)
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op9_secret_scans": secret_scan.OP9_SQL}

@@ -241,6 +241,30 @@ def test_classifiers_on_held_out_labels(spark, name, label, folds, held, least):
     out = [r for r in got if r.held_out]
     right = sum(r.predicted == r[label] for r in out)
     assert right > 0.96 * len(out)
+    hits, said, marked = sum(r.predicted and r[label] for r in out), sum(r.predicted for r in out), sum(r[label] for r in out)
+    # A twentieth of the labels of toxic documents stand on texts without any insult.
+    assert hits >= 0.95 * said and hits >= (0.95 if label == "quality" else 0.72) * marked
+
+
+def test_long_texts_and_units_are_learned_from(spark):
+    """Of texts beyond any bound on lengths, all passages and units reach the fit."""
+    filler = "plain words of no harm at all " * 3_000
+    long_unit = "verylonginsult" * 4
+    rows = [(i, filler + (f" {long_unit}" if i % 2 else ""), "en", "a") for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    machine = toxicity.fit_toxicity(docs, labels)
+    assert machine.unit_margins(toxicity.Units([long_unit]))[0] > machine.unit_margins(toxicity.Units(["harm"]))[0]
+    assert quality.labelled_texts(docs, labels, "quality", keep=F.lit(True)).agg(F.min(F.length("text"))).first()[0] == len(filler)
+
+
+def test_units_of_texts_and_bags_have_the_same_margins():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeistuo"), rng.integers(2, 9))) for _ in range(300)] + ["1d10t", "123", "s t u p i d", "é🙂x"]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(60)]
+    machine = toxicity.fit([t + " stupid" * (i % 3 == 0) for i, t in enumerate(texts)], np.array([float(i % 3 == 0) for i in range(60)]))
+    assert machine.bag_margins(toxicity.bags_of(texts)) == pytest.approx(machine.margins(texts), abs=1e-9)
+    assert toxicity.Units(["1d10t 123 45"]).size.tolist() == [5]
 
 
 def test_toxicity_tolerates_gaps():
@@ -351,6 +375,22 @@ def test_secrets_equal_brute_force(spark):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
 
 
+def test_long_tokens_are_found_wherever_their_digit_stands(spark):
+    runs = ["g" * n + "1" + "z" * m for n in (5, 79, 80, 81, 500) for m in (0, 30)] + ["x" * 300, "-" * 200]
+    rows = [(i, f"see {t} there", f"s{i}") for i, t in enumerate(runs)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t in enumerate(runs):
+        want = [(4, "token", 4 + len(t))] if len(t) >= 20 and "1" in t else []
+        assert [(s.start, s.kind, s.end) for s in got[i].spans] == want
+
+
+def test_repositories_tell_examples_from_credentials(spark):
+    """One owner's own value stays live in many repositories; two owners share a value over many."""
+    rows = [(i, "password=ownkeyownkey01", "one") for i in range(30)] + [(100 + i, "password=sharedexample1", f"o{i % 2}") for i in range(12)] + [(200 + i, "password=twoplaces12345", f"o{i % 2}") for i in range(4)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(got[i].n_live, got[i].n_example) for i in (0, 100, 200)] == [(1, 0), (0, 1), (1, 0)]
+
+
 def test_secrets_ownership_and_redaction(spark):
     rows = [(i, f"key {i}: password=commonexample123", f"owner{i}") for i in range(4)] + [(9, "my password=verysecretvalue99 end", "owner0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
