@@ -1,19 +1,26 @@
 """Main text of web pages by consensus host paths.
 
 Every page is parsed once into containers and text blocks. The lowest container that holds every clean
-block of the article (see ``Page.best``) votes, with its generalised tag-and-class path, for its host. Votes are counted in Spark (summed before the shuffle,
-so a host with a third of all pages costs one row a task). Then each page is extracted anew from the
-containers with its host's winning path, or from its own best container where it has none.
+block of the article (see ``Page.best``) votes, with its generalised tag-and-class path, for its host.
+Votes are counted in Spark (summed before the shuffle, so a host with a third of all pages costs one
+row a task). Then each page is extracted anew from the containers with its host's winning path, or from
+its own best container where it has none.
+
+Parsing takes time and memory in proportion to the page, however deep its elements nest and however
+malformed its tags are: containers hold their parent and label, and only the path that is voted for is
+spelled out.
 
 Edge cases: a null html is the empty page, whose text is empty; unclosed, stray and nested tags are
-tolerated; a null or odd url has the host ''; of equally voted paths the longer, then smaller wins;
-repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+tolerated; a tag without an end ends at the next ``<`` or ``>``; a null or odd url has the host ''; of
+equally voted paths the longer, then smaller wins; repeated rows each get a row; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,14 +50,12 @@ search-form search-box search-bar login-form signup-form subscribe-form widget-a
 # Marks of reader comments, which are often article elements themselves.
 COMMENTS = frozenset("comment comments commentlist comment-list comments-list comments-area respond reply replies disqus".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|title)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?][^>]*>"
-    r"|</?[a-zA-Z][^<>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template textarea iframe svg title annotation annotation-xml".split())
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+#: A tag, in which quotes count after an equals sign; and one that never ends, up to the next tag.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+ENDLESS_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>?")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 NUMBER = re.compile(r"-*\d+$")
@@ -63,8 +68,40 @@ def marks_in(values) -> set[str]:
     return tokens & BOILERPLATE
 
 
+def tags_of(source: str):
+    """(begin, end, closing, name, attributes) of every tag and of what is no text: comments,
+    declarations and raw elements have a null name. One pass: no part of the page is read twice but
+    for a single search for the end of a tag that has none."""
+    at, size, endless = 0, len(source), False
+    while (at := source.find("<", at)) >= 0:
+        mark = source[at + 1 : at + 2]
+        if mark in "!?" and mark:
+            comment = source.startswith("<!--", at)
+            end = source.find("-->", at + 4) if comment else source.find(">", at)
+            end = size if end < 0 else end + (3 if comment else 1)
+            yield at, end, False, None, ""
+            at = end
+            continue
+        m = None if endless else TAG.match(source, at)
+        if m is None:
+            m = ENDLESS_TAG.match(source, at)
+            if m is None:
+                at += 1
+                continue
+            endless = True
+        name = m[2].lower()
+        if name in RAW and not m[1]:
+            closed = RAW_ENDS[name].search(source, m.end())
+            end = closed.end() if closed else size
+            yield at, end, False, None, ""
+        else:
+            end = m.end()
+            yield at, end, bool(m[1]), name, m[3]
+        at = end
+
+
 class Page:
-    """Containers as (parent, path, dropped) and blocks as (container, text, characters in links, heading)."""
+    """Containers as (parent, label, dropped) and blocks as (container, text, characters in links, heading)."""
 
     def __init__(self, source: str):
         self.containers: list[tuple[int, str, bool]] = [(-1, "", False)]
@@ -77,6 +114,7 @@ class Page:
         mains: set[int] = set()
         # Open elements: (tag, container, dropped, in an article, mark)
         stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        open_tags: Counter = Counter()
         text: list[str] = []
         linked = 0
         links = 0
@@ -94,29 +132,26 @@ class Page:
                 text.clear()
             linked = 0
 
-        def close(to: int) -> None:
-            flush()
-            del stack[to:]
+        def pop() -> str:
+            name = stack.pop()[0]
+            open_tags[name] -= 1
+            return name
 
-        for m in TOKEN.finditer(source):
-            begin = m.start()
+        for begin, end, closing, name, attributes in tags_of(source):
             if begin > at and not stack[-1][2]:
                 text.append(source[at:begin])
                 if links:
                     linked += begin - at
-            at = m.end()
-            name = m[3]
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if m[2]:
+            if closing:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name in BLOCKS or name in DROPPED:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            close(i)
-                            break
+                elif open_tags[name]:
+                    flush()
+                    while pop() != name:
+                        pass
                 continue
             if name == "br":
                 text.append(" ")
@@ -134,9 +169,8 @@ class Page:
             # A block ends an open paragraph; an item or cell ends the one before it.
             top = stack[-1][0]
             if top == "p" and name in CLOSES_P or top == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                pop()
             _, container, dropped, inside, mark = stack[-1]
-            attributes = m[4]
             marks: dict[str, str] = {}
             if attributes and not attributes.isspace():
                 marks = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTRIBUTE.findall(attributes)}
@@ -151,7 +185,7 @@ class Page:
             dropped = dropped or name in DROPPED or name == "header" and not inside
             if name in CONTAINERS:
                 label = ".".join([name, *sorted(DIGITS.sub("#", marks.get("class", "")).split())[:3]])
-                self.containers.append((container, f"{self.containers[container][1]}/{label}", dropped))
+                self.containers.append((container, label, dropped))
                 container = len(self.containers) - 1
                 container_marks.append(mark)
                 if name in ("article", "main"):
@@ -159,13 +193,14 @@ class Page:
                     if name == "main":
                         mains.add(container)
             stack.append((name, container, dropped, inside or name in ("article", "main"), mark))
+            open_tags[name] += 1
         if at < len(source):
             text.append(source[at:])
         flush()
         if len(self.marks) > 1:
             kept = self.kept_marks(block_marks, container_marks, mains)
             self.blocks = [b for b, mark in zip(self.blocks, block_marks, strict=True) if kept[mark]]
-            self.containers = [(parent, path, dropped or not kept[mark]) for (parent, path, dropped), mark in zip(self.containers, container_marks, strict=True)]
+            self.containers = [(parent, label, dropped or not kept[mark]) for (parent, label, dropped), mark in zip(self.containers, container_marks, strict=True)]
             self.articles = {i for i in self.articles if not self.containers[i][2]}
 
     def kept_marks(self, block_marks: list[int], container_marks: list[int], mains: set[int]) -> list[bool]:
@@ -188,27 +223,26 @@ class Page:
             own[self.containers[i][0]] += own[i]
         lifted = [True] + [False] * (len(size) - 1)
 
+        comments = [False]
+        for parent, of_comments, _ in self.marks[1:]:
+            comments.append(of_comments or comments[parent])
+
         def lift(mark: int) -> None:
-            while mark:
+            while not lifted[mark]:  # what stands around a lifted mark is lifted
                 lifted[mark] = True
                 mark = parents[mark]
 
-        def in_comments(mark: int) -> bool:
-            while mark and not self.marks[mark][1]:
-                mark = parents[mark]
-            return mark > 0
-
         for i in mains:
             lift(container_marks[i])
         articles = [i for i in self.articles if own[i] and not self.containers[i][2]]
         held = self.held(set(articles))
         found = any(held[b[0]] and lifted[mark] for b, mark in zip(self.blocks, block_marks, strict=True))
-        wrapped = [] if found else [i for i in articles if not in_comments(container_marks[i])]
+        wrapped = [] if found else [i for i in articles if not comments[container_marks[i]]]
         if wrapped:
             lift(container_marks[max(wrapped, key=lambda i: own[i])])
         for mark in range(1, len(size)):
             most = 2 * size[mark] > size[0] and (self.marks[mark][2] or not found)
-            if most and not in_comments(mark) or size[mark] == size[0] and not outside and not wrapped:
+            if most and not comments[mark] or size[mark] == size[0] and not outside and not wrapped:
                 lift(mark)
         kept = [True]
         for mark in range(1, len(size)):
@@ -231,12 +265,31 @@ class Page:
         found = {c for c, words, _, heading in clean if heading or " " in words or len(words) > 20} or {c for c, *_ in clean}
         if not found:
             return -1
-        # Parents come before their children: the last one is raised until one is left.
-        while len(found) > 1:
-            last = max(found)
-            found.remove(last)
-            found.add(self.containers[last][0])
-        return found.pop()
+        # Parents come before their children: the last container that holds all is the lowest.
+        holds = [0] * len(self.containers)
+        for c in found:
+            holds[c] = 1
+        for i in range(len(holds) - 1, -1, -1):
+            if holds[i] == len(found):
+                return i
+            holds[self.containers[i][0]] += holds[i]
+        return -1
+
+    def path(self, container: int) -> str:
+        labels = []
+        while container > 0:
+            labels.append(self.containers[container][1])
+            container = self.containers[container][0]
+        return "/".join(["", *reversed(labels)])
+
+    def at_path(self, path: str) -> set[int]:
+        """The containers with this path that are not dropped."""
+        labels = path.split("/")
+        same = [0]  # how many labels of the path a container and those around it are
+        for parent, label, _ in self.containers[1:]:
+            n = same[parent]
+            same.append(n + 1 if 0 <= n < len(labels) - 1 and labels[n + 1] == label else -1)
+        return {i for i, n in enumerate(same) if n == len(labels) - 1 and not self.containers[i][2]}
 
     def held(self, roots: set[int]) -> list[bool]:
         held = [False] * len(self.containers)
@@ -249,7 +302,7 @@ class Page:
         return "\n\n".join(words for container, words, *_ in self.blocks if held[container])
 
     def text(self, path: str | None) -> str:
-        roots = {i for i, c in enumerate(self.containers) if c[1] == path and not c[2]} if path else set()
+        roots = self.at_path(path) if path else set()
         return roots and self.inside(roots) or self.inside({max(self.best(), 0)})
 
 
@@ -266,7 +319,7 @@ def consensus_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "
             for source in batch.column(1).to_pylist():
                 page = Page(source)
                 best = page.best()
-                found.append(page.containers[best][1] if best >= 0 else None)
+                found.append(page.path(best) if best >= 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html")).mapInArrow(vote, "host string, path string")

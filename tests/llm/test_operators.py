@@ -234,6 +234,91 @@ def test_html_marks_are_whole_tokens_and_do_not_lose_the_article():
     assert html_text.Page(f"<body><div class=post><p>short post</p></div><div class=comments><article>{body}</article></div>").text(None) == "short post"
 
 
+def test_html_keeps_mathematics_and_what_article_names_hold():
+    body = "body words " * 40
+    assert html_text.Page("<article><p>Energy is <math><mi>E</mi><annotation>tex</annotation></math> at the end</p></article>").text(None) == "Energy is E at the end"
+    page = "<body><div class='article-header'><h1>Title</h1><p>Lead</p></div><article><section id=side-effects><p>one</p></section><section id=login-flow><p>two</p></section><p>{}</p></article>"
+    assert html_text.Page(page.format(body)).text(None).endswith(f"one\n\ntwo\n\n{body.strip()}")
+    assert html_text.Page(f"<body><div class=article-header><h1>Title</h1><p>Lead of it</p></div><div class=a><p>{body}</p></div>").text(None) == f"Title\n\nLead of it\n\n{body.strip()}"
+
+
+HOSTILE = {
+    "deep": "<div>" * 100_000 + "<p>text</p>", "deep classes": "<div class='ad x y z'>" * 50_000 + "<p>text</p>", "endless tags": '<a "' * 250_000, "endless tags with an end": '<a "' * 250_000 + '">',
+    "open quotes": '<p class="a' * 80_000, "stray ends": "<section>" * 50_000 + "</p></article>" * 50_000, "open scripts": "<script>" * 100_000, "comments": "<!--" * 200_000, "less": "<" * 900_000,
+    "spaces": "<p class" + " " * 900_000, "entities": "<p>" + "&am" * 300_000, "siblings": "<div><p>a b</p></div>" * 40_000, "values": '<p a="" ' * 100_000 + 'x=">',
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_takes_time_and_memory_in_proportion(name):
+    import time
+    import tracemalloc
+
+    html_text.Page("<p>warm").text(None)
+    began = time.process_time()
+    page = html_text.Page(HOSTILE[name])
+    path = page.path(max(page.best(), 0))
+    page.text(path)
+    assert time.process_time() - began < 2
+    tracemalloc.start()
+    html_text.Page(HOSTILE[name]).text(path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
+def test_html_equals_a_reference_extractor(spark):
+    """A plain tree walk of the article elements, by the standard library's parser, on all pages."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        ends = {"p", "h1", "h2", "h3", "h4", "li", "div", "ul", "article", "nav", "footer", "body", "html", "table", "tr", "td", "blockquote", "pre", "section"}
+
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.now, self.open, self.depth = [], [], 0, 0
+
+        def cut(self):
+            words = " ".join("".join(self.now).split())
+            self.now = []
+            if words:
+                self.blocks.append(words)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.ends:
+                self.cut()
+            if tag == "br":
+                self.now.append(" ")
+            self.open += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in self.ends:
+                self.cut()
+            self.open -= tag == "article"
+
+        def handle_data(self, data):
+            if self.open:
+                self.now.append(data)
+
+    def tokens_f1(a, b):
+        x, y = collections.Counter(a.split()), collections.Counter(b.split())
+        return 2 * (x & y).total() / max(x.total() + y.total(), 1)
+
+    pages = {r.page_id: r.html for r in common.read_table(spark, MIDDLE, "pages").collect()}
+    got = {r.page_id: r.text for r in html_text.op4(spark, MIDDLE).collect()}
+    equal, f1 = 0, []
+    for i, source in pages.items():
+        walk = Walk()
+        walk.feed(source or "")
+        walk.close()
+        walk.cut()
+        want = "\n\n".join(walk.blocks)
+        equal += want == got[i]
+        f1.append(tokens_f1(want, got[i]))
+    print("mean token F1", np.mean(f1), "equal", equal, "of", len(pages))
+    assert np.mean(f1) > 0.995 and equal > 0.97 * len(pages)
+
+
 @pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op5_attention_quality", "quality", 5, 0, 0.3), ("op8_string_kernel_toxicity", "toxic", 3, 1, 0.7)])
 def test_classifiers_on_held_out_labels(spark, name, label, folds, held, least):
     got = queries.queries()[name](spark, "/root/testdata/sf0.1").join(common.read_table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
