@@ -107,6 +107,43 @@ def test_fingerprints(spark):
     assert clear > 0.9 * len(ids)
 
 
+def i_match(texts: dict[int, str]) -> dict[int, list]:
+    """Document frequencies by term, sorted distinct terms of each sub-lexicon, one hash each."""
+    sets = {i: {t for t in re.split(r"[\W_]+", text.lower()) if t} for i, text in texts.items()}
+    df = collections.Counter(t for s in sets.values() for t in s)
+    known = {t for t, n in df.items() if max(2, 0.004 * len(texts)) <= n <= 0.25 * len(texts)}
+    digest = lambda t, n: int(hashlib.md5(t.encode()).hexdigest()[:n], 16)
+    out = {}
+    for i, s in sets.items():
+        lots = {t: digest(t, 11) for t in s & known}
+        found = []
+        for at, power, count in zip((0, 3, 7, 12, 18, 25, 33), range(3, 10), (4, 5, 6, 6, 5, 4, 2), strict=True):
+            for lot in range(count):
+                held = sorted(t for t, b in lots.items() if (b >> at) % 2**power == lot)
+                found.append(format(digest(" ".join(held), 15), "015x") if held else "-")
+        if set(found) == {"-"} and s:
+            found[0] = format(digest(" ".join(sorted(s)), 15), "015x")
+        out[i] = found
+    return out
+
+
+def test_fingerprints_equal_a_plain_i_match(spark):
+    want = i_match(texts_of(spark, MIDDLE))
+    got = {r.doc_id: r.fingerprint.split(".") for r in fingerprints.op2(spark, MIDDLE).collect()}
+    assert got == want
+
+
+def test_rows_that_share_an_id_have_one_next(spark):
+    """The edited text and the likeness mean the same next row, whatever the partitions."""
+    rows = [(1, f"term{i} other{i} words{i} here{i}") for i in range(6)] + [(2, "last text of all of them")]
+    for parts in (1, 5):
+        got = fingerprints.fingerprint_edited(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(parts)).collect()
+        seen = {r.edited_sha256: (r.fingerprint, r.edited_fingerprint, r.near_next) for r in got}
+        texts = [t for _, t in rows]
+        ends = {hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest(): t == n for t in texts for n in texts}
+        assert all(sha in ends and (near == 1.0) == ends[sha] for sha, (_, _, near) in seen.items())
+
+
 def test_fingerprints_of_short_texts_differ(spark):
     """One lexicon term a text, many of which are in no sub-lexicon, and the empty text."""
     rows = [(i, f"term{i // 2}") for i in range(200)] + [(200, "")]
