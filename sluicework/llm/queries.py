@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_imatch_fingerprints": fingerprints.OP2_SQL, "op9_secret_scans": secret_scan.OP9_SQL}
+    return {"op2_imatch_fingerprints": fingerprints.OP2_SQL, "op7_temperature_mixing": mixing.OP7_SQL, "op9_secret_scans": secret_scan.OP9_SQL}

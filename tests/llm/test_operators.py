@@ -470,6 +470,36 @@ def test_mixing_serves_every_row_and_keeps_the_limit(spark):
     assert max(places.values()) == 1
 
 
+def in_duckdb(sql: str, **tables) -> list[tuple]:
+    import duckdb
+
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame)
+    found = con.sql(sql)
+    at = [found.columns.index(c) for c in sorted(found.columns)]
+    return sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=repr)
+
+
+def test_mixing_equals_one_running_sum_a_source(spark):
+    """Blocks of a few hundred tokens, in groups of blocks, against a plain window in SQL."""
+    docs = docs_of(spark).select("doc_id", "source", "text")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source"))).withColumn("source", F.when(F.col("doc_id") % 7 != 0, F.col("source")))
+    docs = docs.unionByName(spark.createDataFrame([(None, "hot", f"text number {i} of no id") for i in range(40)] + [(5, "hot", f"more of id five {i}") for i in range(20)] + [(9_000, "none", "")], "doc_id long, source string, text string"))
+    want = in_duckdb(mixing.OP7_SQL, documents=docs.toPandas().astype({"doc_id": "Int64"}))
+    for block in (300, 5_000, 10**9):
+        rows = mixing.mix_rows(docs, block_tokens=block).select("doc_id", F.col("mix_epoch").alias("epoch"), "mix_at", F.col("mix_tokens").alias("n_tokens"), "source").collect()
+        assert sorted((tuple(r) for r in rows), key=repr) == want
+
+
+def test_mixing_of_a_given_total_keeps_the_repeats(spark):
+    shares = spark.createDataFrame([("a", 9_000), ("b", 900), ("c", 100)], "source_key string, tokens long")
+    a = mixing.temperature(shares, max_repeats=3.0, total=5_000)
+    plan = {r.source_key: r.budget for r in mixing.budgets(shares, a, 5_000).collect()}
+    assert max(plan[k] / n for k, n in (("a", 9_000), ("b", 900), ("c", 100))) == pytest.approx(3.0, abs=0.02)
+    assert sum(plan.values()) == pytest.approx(5_000, abs=3)
+
+
 def test_mixing_meets_an_entropy(spark):
     shares = spark.createDataFrame([("a", 9_000), ("b", 900), ("c", 100)], "source_key string, tokens long")
     a = mixing.temperature(shares, entropy=0.8)
