@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is made and set.
+    Only where the session names none and runs in one process, as in local tests, a temporary folder is
+    made and set; on a cluster that is an error, as executors do not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sluicework-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -32,10 +35,12 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -43,6 +48,12 @@ class Staging:
         jvm, path = self.spark.sparkContext._jvm, f"{self.root}/{name}"
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self.names.discard(name)
+
+    def clear(self, *kept: str) -> None:
+        """Remove all tables but these, once no other is read any more."""
+        for name in sorted(self.names - set(kept)):
+            self.drop(name)
 
 
 def release() -> None:

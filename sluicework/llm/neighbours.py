@@ -7,10 +7,13 @@ keep the nearest. A round is a chain of joins on node ids; candidates that canno
 dropped where they are found. Only pairs with a member that is new to a list are compared.
 
 Search: all queries walk the graph at once. Each hop joins the nearest unexpanded nodes of every query
-with their links and computes exact distances, until the nearest ``beam`` nodes are all expanded. A
-query that ends with fewer results than there are candidates is scanned exactly against all rows.
+with their links and computes exact distances, until the nearest ``BEAM`` nodes of every query are all
+expanded, however many hops that takes. A query that ends with fewer results than there are candidates
+is scanned exactly against all rows, in blocks of ``BLOCK`` queries.
 
-Every vector is indexed. Distances are Euclidean, in double precision on the original numbers.
+Every vector is indexed. Links are compared on vectors in single precision, less the mean of all and
+divided by the largest magnitude, so that neither size nor offset makes different vectors equal.
+Results are Euclidean distances, in double precision on the original numbers.
 
 Skew: a group of equal vectors gives one node and its ten smallest ids; how often a node is listed is
 counted with partial sums and sampled down before links are gathered, as NN-descent prescribes.
@@ -32,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import Staging, read_table, width
 
 LINKS, TREES, RUN, ROUNDS = 32, 6, 160, 10
-BEAM, EXPAND, HOPS, TOP = 160, 28, 24, 10
+BEAM, EXPAND, TOP, BLOCK = 160, 28, 10, 2_000
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -42,26 +45,34 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
-def halves(column: pa.Array) -> np.ndarray:
-    """Rows of a column of half-precision numbers as bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
+def units(column: pa.Array) -> np.ndarray:
+    """Rows of a column of single-precision numbers as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
 def squared(x: np.ndarray) -> np.ndarray:
     """Squared distances between all rows of a small matrix."""
+    x = x.astype(np.float64)  # differences of near rows far from the origin would be lost
     s = (x * x).sum(1)
     return np.maximum(s[:, None] + s[None, :] - 2 * x @ x.T, 0)
 
 
-def compact(nodes: DataFrame) -> DataFrame:
-    """Vectors in half precision: enough for the order of links, at half the cost of moving them."""
+def compact(nodes: DataFrame, dim: int) -> DataFrame:
+    """(id, unit): vectors less their mean, by the largest magnitude, in single precision as bytes.
+    The statistics are one number and ``dim`` rows."""
+    top = nodes.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
+    scale = float(top or 1.0)
+    means = nodes.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg(F.col("x") / F.lit(scale)).alias("m")).collect()
+    mean = np.zeros(dim)
+    for r in means:
+        mean[r["at"]] = r["m"]
 
     def run(batches):
         for batch in batches:
-            x = np.clip(matrix(batch.column(1)), -60000, 60000).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "half"])
+            x = (matrix(batch.column(1)) / scale - mean).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "unit"])
 
-    return nodes.select("id", "vector").mapInArrow(run, "id long, half binary")
+    return nodes.select("id", "vector").mapInArrow(run, "id long, unit binary")
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -71,27 +82,27 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows
 
 
-def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
+def first_lists(unit: DataFrame, dim: int) -> DataFrame:
     """(id, nbr, d) from runs of neighbours in several sorted orders."""
-    spark = nodes.sparkSession
+    spark = unit.sparkSession
     out = None
     for tree in range(TREES):
         planes = np.random.default_rng(100 + tree).normal(size=(dim, 16))
 
         def code(batches, planes=planes):
             for batch in batches:
-                bits = matrix(batch.column(1)) @ planes > 0
+                bits = units(batch.column(1)) @ planes > 0
                 # Gray order: neighbouring codes differ in few bits.
                 value = np.zeros(len(bits), np.int64)
                 for j in range(bits.shape[1]):
                     value = value * 2 + (bits[:, j] ^ (value & 1).astype(bool))
-                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0), batch.column(1)], ["code", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0), batch.column(1)], ["code", "id", "unit"])
 
         def compare(batches):
             held, rows = [], 0
 
             def lists(table):
-                ids, x = table.column("id").to_numpy(), matrix(table.column("vector"), np.float32)
+                ids, x = table.column("id").to_numpy(), units(table.column("unit"))
                 for s in range(0, len(ids), RUN):
                     e = min(s + RUN, len(ids))
                     s = max(0, min(s, e - RUN))
@@ -102,7 +113,7 @@ def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
                         continue
                     near = np.argpartition(d, k - 1, axis=1)[:, :k]
                     own = np.repeat(ids[s:e], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[s:e][near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel())], ["id", "nbr", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[s:e][near.ravel()]), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float32))], ["id", "nbr", "d"])
 
             for batch in batches:
                 held.append(batch)
@@ -113,8 +124,7 @@ def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
             if rows:
                 yield from lists(pa.Table.from_batches(held))
 
-        kind = dict(nodes.dtypes)["vector"]
-        coded = nodes.select("id", "vector").mapInArrow(code, f"code long, id long, vector {kind}")
+        coded = unit.select("id", "unit").mapInArrow(code, "code long, id long, unit binary")
         found = coded.repartitionByRange(width(spark), "code", "id").sortWithinPartitions("code", "id").mapInArrow(compare, "id long, nbr long, d float")
         out = found if out is None else out.unionByName(found)
     return out
@@ -139,21 +149,21 @@ def reverse_sample(edges: DataFrame, most: int, seed: int) -> DataFrame:
     return turned.join(degree, "id").filter(lot * F.col("n") < most).select("id", "nbr", "fresh")
 
 
-def introduce(graph: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+def introduce(graph: DataFrame, unit: DataFrame, seed: int) -> DataFrame:
     """One NN-descent round: (id, nbr, d) that would enter the list of id."""
     edges = exploded(graph)
     met = edges.select("id", "nbr", "fresh").unionByName(reverse_sample(edges, LINKS, seed)).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
     last = F.element_at("links", -1)
     full = F.size("links") >= LINKS
-    known = nodes.join(graph, "id").select(F.col("id").alias("nbr"), "half", F.when(full, last["d"]).otherwise(F.lit(float("inf")).cast("float")).alias("worst"), F.when(full, last["nbr"]).otherwise(F.lit(2**62)).alias("worst_id"))
-    gathered = met.join(known, "nbr").select("id", "nbr", "fresh", "half", "worst", "worst_id")
+    known = unit.join(graph, "id").select(F.col("id").alias("nbr"), "unit", F.when(full, last["d"]).otherwise(F.lit(float("inf")).cast("float")).alias("worst"), F.when(full, last["nbr"]).otherwise(F.lit(2**62)).alias("worst_id"))
+    gathered = met.join(known, "nbr").select("id", "nbr", "fresh", "unit", "worst", "worst_id")
 
     def local_join(batches):
         rest: pa.Table | None = None
 
         def solve(table: pa.Table):
             own, ids, fresh = (table.column(c).to_numpy() for c in ("id", "nbr", "fresh"))
-            x, worst, worst_id = halves(table.column("half")), table.column("worst").to_numpy(), table.column("worst_id").to_numpy()
+            x, worst, worst_id = units(table.column("unit")), table.column("worst").to_numpy(), table.column("worst_id").to_numpy()
             heads = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
             a_out, b_out, d_out = [], [], []
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(own)], strict=True):
@@ -186,11 +196,11 @@ def introduce(graph: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
 
 def build_graph(nodes: DataFrame, dim: int, staging: Staging, rounds: int = ROUNDS, until: float = 0.01) -> DataFrame:
     """(id, links): rounds go on until fewer than ``until`` of all links are new."""
-    graph = staging.put(top_links(first_lists(nodes, dim).withColumn("fresh", F.lit(True))), "graph-0")
-    n = nodes.count()
-    half = staging.put(compact(nodes), "half")
+    unit = staging.put(compact(nodes, dim), "unit")
+    graph = staging.put(top_links(first_lists(unit, dim).withColumn("fresh", F.lit(True))), "graph-0")
+    n = unit.count()
     for turn in range(1, rounds + 1):
-        offers = introduce(graph, half, turn).withColumn("fresh", F.lit(True))
+        offers = introduce(graph, unit, turn).withColumn("fresh", F.lit(True))
         old = exploded(graph).withColumn("fresh", F.lit(False))
         fresh = staging.put(top_links(old.unionByName(offers)), f"graph-{turn}")
         staging.drop(f"graph-{turn - 1}")
@@ -198,6 +208,7 @@ def build_graph(nodes: DataFrame, dim: int, staging: Staging, rounds: int = ROUN
         changed = graph.select(F.sum(F.size(F.filter("links", lambda l: l["fresh"])))).first()[0] or 0
         if changed <= until * n * LINKS:
             break
+    staging.drop("unit")
     return graph
 
 
@@ -212,31 +223,33 @@ def distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "vector", "query").mapInArrow(run, "q long, node long, d double")
 
 
-def exact_scan(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
-    """(q, node, d): the nearest ``top`` rows of every query, by scanning all rows for blocks of
-    queries that are collected; for the few queries whose walk came short, and to measure recall."""
+def exact_scan(queries: DataFrame, vectors: DataFrame, top: int, staging: Staging) -> DataFrame:
+    """(q, node, d): the nearest ``top`` rows of every query (q, query), by scanning all rows for one
+    block of ``BLOCK`` queries after the other; for the few queries whose walk came short, and to
+    measure recall. The driver holds one block at a time, and every block's result is written."""
     kind = "q long, node long, d double"
-    out = None
-    asked = queries.orderBy("q").collect()
-    for s in range(0, len(asked), 2_000):
-        ids = np.array([r["q"] for r in asked[s : s + 2_000]])
-        points = np.array([r["query"] for r in asked[s : s + 2_000]], np.float64)
+    out = queries.sparkSession.createDataFrame([], kind)
+    turn, rest = 0, queries
+    while block := rest.orderBy("q").limit(BLOCK).collect():
+        turn, rest = turn + 1, queries.filter(F.col("q") > block[-1]["q"])
+        ids = np.array([r["q"] for r in block])
+        points = np.array([r["query"] for r in block], np.float64)
 
         def scan(batches, ids=ids, points=points):
             for batch in batches:
                 node, x = batch.column(0).to_numpy(), matrix(batch.column(1))
                 for b in range(0, len(node), 500):
                     part, names = x[b : b + 500], node[b : b + 500]
-                    for i in range(len(ids)):
-                        d = np.sqrt(((part - points[i]) ** 2).sum(1))
+                    for q, point in zip(ids, points, strict=True):
+                        d = np.sqrt(((part - point) ** 2).sum(1))
                         take = np.lexsort((names, d))[: top + 1]
-                        take = take[names[take] != ids[i]][:top]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), ids[i])), pa.array(names[take]), pa.array(d[take])], ["q", "node", "d"])
+                        take = take[names[take] != q][:top]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), q)), pa.array(names[take]), pa.array(d[take])], ["q", "node", "d"])
 
         found = vectors.select("id", "vector").mapInArrow(scan, kind)
         w = Window.partitionBy("q").orderBy("d", "node")
-        found = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
-        out = found if out is None else out.unionByName(found)
+        best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
+        out = out.unionByName(staging.put(best, f"scan-{turn}"))
     return out
 
 
@@ -249,20 +262,21 @@ def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, staging: Stagin
     begin = queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
     known = staging.put(begin, "known-0")
     near = Window.partitionBy("q").orderBy("d", "node")
-    for hop in range(1, HOPS + 1):
+    hop = 0
+    while True:
+        hop += 1
         # The nearest unexpanded nodes among the beam of each query.
         ranked = known.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= BEAM).filter("not done")
         front = staging.put(ranked.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= EXPAND).select("q", "node"), f"front-{hop}")
         if front.limit(1).count() == 0:
-            break
+            return known.select("q", "node", "d")
         met = front.join(links.withColumnRenamed("id", "node"), "node").select("q", F.col("nbr").alias("node")).distinct()
         fresh = met.join(known.select("q", "node"), ["q", "node"], "left_anti")
         measured = distances(fresh.join(vectors, "node").join(asked, "q")).withColumn("done", F.lit(False))
         marked = known.join(front.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         known = staging.put(marked.unionByName(measured), f"known-{hop}")
-        if hop > 1:
-            staging.drop(f"known-{hop - 2}")
-    return known.select("q", "node", "d")
+        staging.drop(f"known-{hop - 1}")
+        staging.drop(f"front-{hop}")
 
 
 def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, staging: Staging | None = None) -> DataFrame:
@@ -288,11 +302,13 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     results = short.join(members, "node").filter("id != q").select("q", F.col("id").alias("node"), "d")
     results = staging.put(results, "results")
     enough = min(top, max(rows.count() - 1, 0))
-    lacking = asked.select("q", "query").join(results.groupBy("q").count().filter(F.col("count") >= enough), "q", "left_anti")
+    lacking = staging.put(asked.select("q", "query").join(results.groupBy("q").count().filter(F.col("count") >= enough), "q", "left_anti"), "lacking")
     if enough and lacking.limit(1).count():
-        results = results.unionByName(exact_scan(lacking, rows, top)).distinct()
+        results = results.unionByName(exact_scan(lacking, rows, top, staging)).distinct()
     ranked = results.withColumn("rank", F.row_number().over(by).cast("int")).filter(F.col("rank") <= top)
-    return ranked.select(F.col("q").alias("query_id"), "rank", F.col("node").alias("vec_id"), F.col("d").alias("score"))
+    ranked = staging.put(ranked.select(F.col("q").alias("query_id"), "rank", F.col("node").alias("vec_id"), F.col("d").alias("score")), "ranked")
+    staging.clear("ranked")
+    return ranked
 
 
 def op10(spark, sf_dir):

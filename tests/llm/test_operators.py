@@ -57,9 +57,9 @@ def removed_by_brute_force(texts: dict[int, bytes], length: int = 100) -> dict[i
     return out
 
 
-@pytest.mark.parametrize("most", [4_096, 1])
+@pytest.mark.parametrize("most", [4_096, 5, 1])
 def test_suffix_dedup_equals_brute_force(spark, most):
-    """With ``most_blocks=1`` every compared gram takes the path of very frequent ones."""
+    """With small groups, grams are split by content: with ``most_blocks=1`` down to single windows."""
     texts = {i: t.encode() for i, t in texts_of(spark).items()}
     line = b"A line of more than one hundred bytes that many documents of this corpus share, as licence texts and notices do. "
     for k in range(40):
@@ -577,6 +577,35 @@ def test_neighbours_recall_and_exactness(spark):
     assert hits >= 0.95 * total
 
 
+@pytest.mark.parametrize(("size", "offset"), [(1e6, 0.0), (0.1, 1000.0), (1e-9, 0.0)])
+def test_neighbours_of_large_small_and_shifted_vectors(spark, size, offset):
+    """Magnitudes and offsets at which half precision, or clipping, would make all vectors equal; extra
+    columns, and an id on two rows."""
+    x = np.random.default_rng(8).normal(size=(250, 8)) * size + offset
+    rows = [(i, v.tolist(), "x", 1.0) for i, v in enumerate(x)] + [(249, [3e3 * size] * 8, "x", 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, d double")
+    got = neighbours.nearest(df, lambda i: i % 50 == 0).collect()
+    x[249] = min(x[249].tolist(), [3e3 * size] * 8)
+    for q in range(0, 250, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(250), d)) if k != q][:10]
+        own = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert len(set(own) & set(want)) >= 9
+
+
+def test_exact_scans_go_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, [float(i * i % 17), float(i)]) for i in range(40)], "id long, vector array<double>")
+    asked = rows.filter("id % 4 = 0").select(F.col("id").alias("q"), F.col("vector").alias("query"))
+    got = neighbours.exact_scan(asked, rows, 5, common.Staging(spark, "scan")).collect()
+    x = np.array([[i * i % 17, i] for i in range(40)], float)
+    for q in range(0, 40, 4):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [(k, d[k]) for k in np.lexsort((np.arange(40), d)) if k != q][:5]
+        assert sorted((r.d, r.node) for r in got if r.q == q) == sorted((b, a) for a, b in want)
+    assert len(got) == 50
+
+
 def test_neighbours_of_few_vectors(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, lambda i: i == 0).orderBy("rank").collect()
