@@ -6,17 +6,25 @@ Which windows can repeat is found from anchors: in every window of ``LENGTH`` by
 gram of least hash is an anchor, so equal windows hold equal anchors at equal places, while anchors are
 some forty bytes apart. Anchors whose gram hash occurs once drop out. What an anchor's windows can
 reach is its block. Equal blocks need no comparison: only the first of them can hold a first window.
+They are known by three independent 64-bit hashes (of the gram, and two of the block), as the bytes of
+all copies would have to be moved to compare them.
+
 The different blocks of one anchor gram are compared: their suffixes from the anchor on are sorted by
 mergesort, where prefix polynomial hashes and binary search give the common extension of two suffixes
 in a logarithmic number of steps; ranges of the sorted suffixes that share the needed extension to the
 right, split by the hash of the extension to the left, are the sets of equal windows. Claimed
 extensions are verified byte by byte.
 
-Scale: grams are counted with partial sums and joined on a unique key, so that Spark can split a hot
-gram; equal blocks collapse to one row a task before they are shuffled; a gram with more than
-``MOST_BLOCKS`` different blocks is spread over its windows, which are again aggregated with partial
-sums. No task sees more than ``MOST_BLOCKS`` blocks of one gram at a time, and nothing goes to the
-driver. Intermediate tables are staged in the shared folder and dropped when read.
+A group of more than ``MOST_BLOCKS`` blocks, as a line makes that a third of all documents hold, is split
+by content until it is small enough: its windows are halved by where they begin, and blocks go on
+together only if they have the bytes that all windows of a half share. Blocks that agree on all bytes
+of a half are one from then on. Both compare bytes, not hashes. A single window has nothing left to
+compare, so splitting ends; blocks that are alone drop out on the way.
+
+Scale: grams are counted with partial sums and joined to a written table of unique keys, so that Spark
+can split a hot gram; equal blocks collapse to one row a task before they are shuffled. No task sorts
+more than ``MOST_BLOCKS`` blocks of one group, and nothing goes to the driver. Intermediate tables are
+staged in the shared folder and dropped when read.
 
 Edge cases: a null text is the empty text; texts shorter than ``LENGTH`` bytes lose nothing; rows
 that share an id are one document at the same places, so that they keep equal parts alike, and a null
@@ -26,9 +34,11 @@ id comes before all others; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +47,12 @@ from .common import Staging, read_table
 
 LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM
-MOST_BLOCKS = 16_384
+MOST_BLOCKS = 4_096
 CHUNK_BYTES, CHUNK_BLOCKS = 250_000, 4_096
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
+#: Other values of the bytes, for a second hash.
+SECOND = mixed(np.arange(256, dtype=U64) + U64(77))
 
 
 def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -70,11 +82,11 @@ def byte_chunks(column: pa.Array):
 
 
 def find_anchors(data: np.ndarray, bounds: np.ndarray):
-    """(row, position in the row, gram hash, block hash) of every anchor of the rows."""
+    """(row, position in the row, gram hash, two block hashes) of every anchor of the rows."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none
+        return none, none, none, none, none
     prefix = prefix_hashes(data)
     at = np.arange(n - GRAM + 1)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -90,22 +102,24 @@ def find_anchors(data: np.ndarray, bounds: np.ndarray):
     pos = np.flatnonzero((reach == order) & (order != TOP) & (order != 0))
     owner = row[pos]
     low, high = np.maximum(bounds[owner], pos - SIDE), np.minimum(bounds[owner + 1], pos + LENGTH)
-    block = mixed(substring_hashes(prefix, low, high) ^ mixed((pos - low).astype(U64) * U64(1000) + (high - pos).astype(U64)))
-    return owner, pos - bounds[owner], gram[pos].astype(np.int64), block.astype(np.int64)
+    place = mixed((pos - low).astype(U64) * U64(1000) + (high - pos).astype(U64))
+    block = mixed(substring_hashes(prefix, low, high) ^ place)
+    check = mixed(substring_hashes(prefix_hashes(SECOND[data]), low, high) + place)
+    return owner, pos - bounds[owner], gram[pos].astype(np.int64), block.astype(np.int64), check.astype(np.int64)
 
 
 def anchors_of(docs: DataFrame) -> DataFrame:
-    """gram, block, doc, pos of every anchor of the (doc, data) rows."""
+    """gram, block, check, doc, pos of every anchor of the (doc, data) rows."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for first, last, data, bounds in byte_chunks(batch.column(1)):
-                owner, pos, gram, block = find_anchors(data, bounds)
+                owner, pos, gram, block, check = find_anchors(data, bounds)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), ids.slice(first, last - first).take(pa.array(owner)), pa.array(pos.astype(np.int32))], ["gram", "block", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(check), ids.slice(first, last - first).take(pa.array(owner)), pa.array(pos.astype(np.int32))], ["gram", "block", "check", "doc", "pos"])
 
-    return docs.mapInArrow(run, f"gram long, block long, doc {dict(docs.dtypes)['doc']}, pos int")
+    return docs.mapInArrow(run, f"gram long, block long, check long, doc {dict(docs.dtypes)['doc']}, pos int")
 
 
 class Blocks:
@@ -225,17 +239,31 @@ class Blocks:
         return out
 
 
+GROUP = ["gram", "low", "high", "core"]
+
+
+def group_starts(table: pa.Table) -> np.ndarray:
+    """Which rows differ from the row before in one of the columns that make a group."""
+    out = np.ones(len(table), bool)
+    for n, name in enumerate(GROUP):
+        col = table.column(name).combine_chunks()
+        a, b = col.slice(0, max(len(col) - 1, 0)), col.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+        out[1:] = differ if n == 0 else out[1:] | differ
+    return out
+
+
 def compare_blocks(blocks: DataFrame) -> DataFrame:
-    """doc, pos, bits (which windows repeat) of the blocks of grams with several, sorted by gram."""
+    """doc, pos, bits (which windows repeat) of the blocks of groups with several."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        table = table.sort_by([("gram", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
-        # Null ids sort last in the table but come first: they are moved to the front.
-        nulls = table.column("doc").is_null().to_numpy()
-        table = table.take(pa.array(np.argsort(~nulls, kind="stable")))
-        table = table.take(pa.array(np.argsort(table.column("gram").to_numpy(), kind="stable")))
-        _, group = np.unique(table.column("gram").to_numpy(), return_inverse=True)
-        found = Blocks(group, table.column("data").to_pylist(), table.column("left").to_numpy()).repeated()
+        group = np.cumsum(group_starts(table)) - 1
+        # Blocks of a group in the order in which they start; null ids come first.
+        docs = table.column("doc").combine_chunks()
+        ranks = pc.rank(docs, sort_keys="ascending", null_placement="at_start", tiebreaker="min").to_numpy()
+        order = np.lexsort((table.column("pos").to_numpy(), ranks, group))
+        table = table.take(pa.array(order))
+        found = Blocks(group[order], table.column("data").to_pylist(), table.column("left").to_numpy()).repeated()
         hit = np.flatnonzero(found.any(1))
         bits = [b.tobytes() for b in np.packbits(found[hit], axis=1)]
         table = table.take(pa.array(hit))
@@ -249,70 +277,62 @@ def compare_blocks(blocks: DataFrame) -> DataFrame:
             rows += batch.num_rows
             if rows >= CHUNK_BLOCKS:
                 table = pa.Table.from_batches(held)
-                gram = table.column("gram").to_numpy()
-                whole = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+                whole = int(np.flatnonzero(group_starts(table))[-1])  # the last group may go on
                 if whole:
                     yield solve(table.slice(0, whole))
                     pa.default_memory_pool().release_unused()
-                held, rows = table.slice(whole).to_batches(), len(gram) - whole
+                held, rows = table.slice(whole).to_batches(), len(table) - whole
         if rows:
             yield solve(pa.Table.from_batches(held))
 
     kind = dict(blocks.dtypes)["doc"]
-    return blocks.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc {kind}, pos int, bits binary")
-
-
-def compare_windows(blocks: DataFrame) -> DataFrame:
-    """The same for grams of very many blocks: every window is aggregated by a 128-bit hash."""
-
-    def run(batches):
-        for batch in batches:
-            data, left = batch.column(batch.schema.get_field_index("data")).to_pylist(), batch.column(batch.schema.get_field_index("left")).to_numpy()
-            b = Blocks(np.arange(len(data)), data, left)
-            second = prefix_hashes(mixed(b.data.astype(U64) + U64(77)))
-            for back in range(SIDE + 1):
-                ok = np.flatnonzero((b.left >= back) & (b.size >= LENGTH - back))
-                if len(ok):
-                    s = b.anchor[ok] - back
-                    h1, h2 = (substring_hashes(p, s, s + LENGTH).astype(np.int64) for p in (b.prefix, second))
-                    take = pa.array(ok)
-                    start = batch.column("pos").to_numpy()[ok] - back
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc").take(take), pa.array(start.astype(np.int32))], ["h1", "h2", "doc", "start"])
-
-    kind = dict(blocks.dtypes)["doc"]
-    windows = blocks.mapInArrow(run, f"h1 long, h2 long, doc {kind}, start int")
-    # The place where a window's content starts first; one row for each content.
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f")).select("f.*")
-    fresh = first.groupBy("doc").agg(F.collect_set("start").alias("fresh"))
-
-    def pack(batches):
-        for batch in batches:
-            bits = []
-            for pos, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                back = pos - np.array(held or [], np.int64)
-                mask = np.ones(SIDE + 1, bool)
-                mask[back[(back >= 0) & (back <= SIDE)]] = False
-                bits.append(np.packbits(mask).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["doc", "pos", "bits"])
-
-    left, right = blocks.select("doc", "pos").alias("l"), fresh.alias("r")
-    both = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")), "left")
-    return both.select("l.doc", "l.pos", "r.fresh").mapInArrow(pack, f"doc {kind}, pos int, bits binary")
+    return blocks.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, f"doc {kind}, pos int, bits binary")
+
+
+def code(first: int):
+    """An entry of a document: an anchor, which windows of it are meant, and whether they are the first."""
+    return (((F.col("pos").cast("long") * 128 + F.col("low")) * 128 + F.col("high")) * 2 + first).alias("code")
+
+
+def split_groups(hot: DataFrame, most: int, staging: Staging) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of at most ``most`` blocks (as ``compare_blocks`` takes them) out of larger ones, and the
+    entries (doc, code) of blocks that agree on whole halves of their windows."""
+    ready, entries, turn = [], [], 0
+    right = F.length("data") - F.col("left") - GRAM
+    shared = F.substring(F.col("data"), F.col("left") - F.col("low") + 1, F.col("low") + GRAM + SIDE - F.col("high"))
+    while hot.limit(1).count():
+        turn += 1
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+        parts = hot.withColumn("_half", F.explode(halves)).withColumn("low", F.col("_half.low")).withColumn("high", F.col("_half.high"))
+        # Blocks that have a window of the half, cut down to what its windows reach.
+        parts = parts.filter((F.col("low") <= F.col("high")) & (F.col("left") >= F.col("low")) & (right >= SIDE - F.col("high")))
+        keep_left, keep_right = F.least("left", "high"), F.least(right, SIDE - F.col("low"))
+        reach = F.substring(F.col("data"), F.col("left") - keep_left + 1, keep_left + GRAM + keep_right)
+        parts = staging.put(parts.select("gram", "low", "high", "doc", "pos", keep_left.alias("left"), reach.alias("data")), f"parts-{turn}")
+        firsts = parts.groupBy("gram", "low", "high", "left", "data").agg(F.min(F.struct("doc", "pos")).alias("f"))
+        firsts = staging.put(firsts.select("gram", "low", "high", shared.alias("core"), "f.doc", "f.pos", "left", "data"), f"firsts-{turn}")
+        counts = staging.put(firsts.groupBy(*GROUP).agg(F.count("*").alias("n_blocks")).filter("n_blocks > 1"), f"counts-{turn}")
+        alive = staging.put(firsts.join(counts.hint("merge"), GROUP), f"alive-{turn}")
+        entries += [parts.select("doc", code(0)), firsts.select("doc", code(1))]
+        ready.append(alive.filter(F.col("n_blocks") <= most))
+        hot = alive.filter(F.col("n_blocks") > most)
+    return ready, entries
 
 
 def windows_to_spans(n: int, codes: np.ndarray, partly: list[dict]) -> list[tuple[int, int]]:
     """Maximal removed runs of a text of n bytes.
 
-    ``codes``: twice the position of each repeated anchor, and one more where it is the first of its
-    block. Anchors that are not the first of their block repeat with all their windows; ``partly`` has
-    the windows (``bits``) that repeat of those that are.
+    ``codes`` are entries (see ``code``) of anchors with equal windows. Those that are never a first one
+    repeat with all these windows; ``partly`` has the windows (``bits``) that repeat of others.
     """
     if n < LENGTH or not len(codes) and not partly:
         return []
     size = n - LENGTH + 1
     later = np.setdiff1d(codes[codes % 2 == 0] // 2, codes[codes % 2 == 1] // 2)
+    pos, nearest, farthest = later >> 14, later >> 7 & 127, later & 127
     step = np.zeros(size + 1, np.int64)
-    low, high = np.maximum(later - SIDE, 0), np.minimum(later + 1, size)
+    low, high = np.maximum(pos - farthest, 0), np.minimum(pos - nearest + 1, size)
     ok = low < high
     np.add.at(step, low[ok], 1)
     np.add.at(step, high[ok], -1)
@@ -334,13 +354,14 @@ def locate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     staging = staging or Staging(docs.sparkSession, "suffix")
     source = docs.select(F.col(id_col).alias("doc"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("data"))
     anchors = staging.put(anchors_of(source), "anchors")
-    # A gram that occurs once anchors no repeat. The join's right side is unique by gram.
-    often = anchors.groupBy("gram").count().filter("count > 1").select("gram")
-    shared = staging.put(anchors.join(often, "gram"), "shared")
+    # A gram that occurs once anchors no repeat. The written right side is unique by gram, so that a hot
+    # gram of the left side can be split.
+    often = staging.put(anchors.groupBy("gram").count().filter("count > 1").select("gram"), "often")
+    shared = staging.put(anchors.join(often.hint("merge"), "gram"), "shared")
     staging.drop("anchors")
-    first = staging.put(shared.groupBy("gram", "block").agg(F.min(F.struct("doc", "pos")).alias("f")).select("gram", "f.doc", "f.pos"), "first")
-    several = first.groupBy("gram").agg(F.count("*").alias("n_blocks")).filter("n_blocks > 1")
-    wanted = first.join(several, "gram").groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "n_blocks")).alias("wanted"))
+    first = staging.put(shared.groupBy("gram", "block", "check").agg(F.min(F.struct("doc", "pos")).alias("f")).select("gram", "f.doc", "f.pos"), "first")
+    several = staging.put(first.groupBy("gram").agg(F.count("*").alias("n_blocks")).filter("n_blocks > 1"), "several")
+    wanted = first.join(several.hint("merge"), "gram").groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "n_blocks")).alias("wanted"))
 
     def cut(batches):
         for batch in batches:
@@ -359,18 +380,16 @@ def locate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     s, w = source.alias("s"), wanted.alias("w")
     joined = s.join(w, F.col("s.doc").eqNullSafe(F.col("w.doc"))).select("s.doc", "s.data", "w.wanted")
     blocks = staging.put(joined.mapInArrow(cut, f"gram long, n_blocks long, doc {kind}, pos int, left int, data binary").dropDuplicates(["gram", "doc", "pos"]), "blocks")
-    bits = compare_blocks(blocks.filter(F.col("n_blocks") <= most_blocks))
-    many = blocks.filter(F.col("n_blocks") > most_blocks)
-    if many.limit(1).count():
-        bits = bits.unionByName(compare_windows(many))
-    bits = staging.put(bits, "bits")
-    code = lambda first: (F.col("pos") * 2 + first).alias("code")
+    whole = [F.lit(0).alias("low"), F.lit(SIDE).alias("high")]
+    blocks = blocks.select("gram", *whole, F.lit(None).cast("binary").alias("core"), "doc", "pos", "left", "data", "n_blocks")
+    ready, split = split_groups(blocks.filter(F.col("n_blocks") > most_blocks), most_blocks, staging)
+    bits = staging.put(compare_blocks(reduce(DataFrame.unionByName, ready, blocks.filter(F.col("n_blocks") <= most_blocks))), "bits")
     no_bits = F.lit(None).cast("struct<pos:int,bits:binary>").alias("part")
-    entries = shared.select("doc", code(0), no_bits).unionByName(first.select("doc", code(1), no_bits))
-    entries = entries.unionByName(bits.select("doc", F.lit(None).cast("int").alias("code"), F.struct("pos", "bits").alias("part")))
+    anchored = [shared.select("doc", "pos", *whole).select("doc", code(0)), first.select("doc", "pos", *whole).select("doc", code(1)), *split]
+    entries = reduce(DataFrame.unionByName, [df.select("doc", "code", no_bits) for df in anchored])
+    entries = entries.unionByName(bits.select("doc", F.lit(None).cast("long").alias("code"), F.struct("pos", "bits").alias("part")))
     lists = staging.put(entries.groupBy("doc").agg(F.collect_list("code").alias("codes"), F.collect_list("part").alias("partly")), "entries")
-    for name in ("shared", "first", "blocks", "bits"):
-        staging.drop(name)
+    staging.clear("entries")
     s, e = source.alias("s"), lists.alias("e")
     return s.join(e, F.col("s.doc").eqNullSafe(F.col("e.doc")), "left").select("s.doc", "s.data", "e.codes", "e.partly")
 
