@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, code_points, runs, word_hashes
 from .common import numbered, read_table, release, restored, whole
 
-FIT_ROWS = 3_000
+FIT_ROWS = 5_000
 PASSAGE = 600
 HIDDEN, GATE = 24, 12
 #: Character classes; letters, digits and white space come from Unicode.
