@@ -4,8 +4,9 @@ Every document is tokenized once, where it is read; longer ones are cut into ful
 shorter piece first. What is dealt out for packing are rows of a few numbers for each piece. A bin
 (a training sequence) has three capacities: tokens, documents and attention cost (the sum of squared
 lengths). Pieces are placed largest first into the open bin whose weighted residual norm after
-placement is least, among the bins that can take the piece under every capacity; if there is none, a
-bin is opened. Tasks pack ``chunk`` pieces at a time, which bounds memory and costs at most one
+placement is least, among all open bins that can take the piece under every capacity; if there is none,
+a bin is opened. Residual tokens weigh so much more than the other two that these decide among bins of
+equal residual tokens: so the least norm is found without scoring every bin. Tasks pack ``chunk`` pieces at a time, which bounds memory and costs at most one
 ill-filled bin for each chunk.
 
 Edge cases: a null text is the empty text (its piece is the end token alone); null ids are kept;
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, whole
 
-WEIGHTS = (1.0, 0.01, 0.01)
+#: The weight of documents and of attention, as a share of one squared token of the residual.
+LIGHT = 0.1
 
 
 def byte_level_encoder(path: str):
@@ -87,49 +89,43 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", t
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item; lengths are at most ``capacity``."""
-    order = np.argsort(-lengths, kind="stable")
+    """(bin, offset) of each item; lengths are at most ``capacity``. Among equal norms, fewer documents,
+    then less attention left, then the bin opened last."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    # Open bins by residual tokens; of each list the last bin's other residuals stand in arrays.
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    docs_left, cost_left = [], []
-    top_docs, top_cost = np.full(capacity + 1, -1.0), np.full(capacity + 1, -1.0)
-    squares = WEIGHTS[0] * (np.arange(capacity + 1) / capacity) ** 2
-    wd, wa = WEIGHTS[1] / max_docs**2, WEIGHTS[2] / float(max_attention) ** 2
-
-    def show(r: int) -> None:
-        b = open_bins[r][-1] if open_bins[r] else -1
-        top_docs[r], top_cost[r] = (docs_left[b], cost_left[b]) if b >= 0 else (-1, -1)
-
-    for i in order:
+    # Open bins by residual tokens, then by what else is left: bins alike in all three are as good.
+    open_bins: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(capacity + 1)]
+    filled = np.zeros(capacity + 1, bool)
+    wd, wa = LIGHT / max_docs**2, LIGHT / float(max_attention) ** 2
+    used = 0
+    for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
         cost = size * size
-        docs, costs = top_docs[size:], top_cost[size:]
-        score = squares[: capacity + 1 - size] + wd * (docs - 1) ** 2 + wa * (costs - cost) ** 2
-        score[(docs < 1) | (costs < cost)] = np.inf
-        k = int(np.argmin(score))
-        b = -1
-        if score[k] < np.inf:
-            r = k + size
-            b = open_bins[r].pop()
-        else:  # a bin below the top of its list may still take it
-            for r in range(size, capacity + 1):
-                j = next((j for j in range(len(open_bins[r]) - 2, -1, -1) if docs_left[open_bins[r][j]] >= 1 and cost_left[open_bins[r][j]] >= cost), -1)
-                if j >= 0:
-                    b = open_bins[r].pop(j)
-                    break
-        if b < 0:
-            r, b = capacity, len(docs_left)
-            docs_left.append(max_docs)
-            cost_left.append(max_attention)
+        at, left = size, None
+        while at <= capacity and left is None:
+            r = at + int(filled[at:].argmax())
+            if not filled[r]:
+                break
+            fits = [state for state in open_bins[r] if state[1] >= cost]
+            if len(fits) > 1:
+                left = min(fits, key=lambda state: (wd * (state[0] - 1) ** 2 + wa * (state[1] - cost) ** 2, state))
+            elif fits:
+                left = fits[0]
+            at = r + 1
+        if left is None:
+            r, left, b = capacity, (max_docs, max_attention), used
+            used += 1
+        else:
+            alike = open_bins[r][left]
+            b = alike.pop()
+            if not alike:
+                del open_bins[r][left]
+                filled[r] = bool(open_bins[r])
         bins[i], offsets[i] = b, capacity - r
-        docs_left[b] -= 1
-        cost_left[b] -= cost
-        show(r)
+        docs, costs = left[0] - 1, left[1] - cost
         # A bin that is full in any dimension is closed: no piece is shorter than one token.
-        if r - size > 0 and docs_left[b] > 0 and cost_left[b] > 0:
-            open_bins[r - size].append(b)
-            show(r - size)
+        if r - size > 0 and docs > 0 and costs > 0:
+            open_bins[r - size].setdefault((docs, costs), []).append(b)
+            filled[r - size] = True
     return bins, offsets
 
 
