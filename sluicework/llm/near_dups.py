@@ -26,6 +26,10 @@ over staged tables; nothing about single documents goes to the driver.
 Word (rather than shingle) frequencies weigh the shingles, because the frequency of a shingle inside a
 large group of copies would push the weight of just the shared part down, and with it the similarity.
 
+Every verified link counts in ``n_links`` of both its texts, and ``similarity`` is the greatest of them:
+links of a text to different texts, found with the central node or in a second comparison; texts that
+are joined by a chain of links need not have been compared with each other.
+
 Edge cases: a text of fewer than five words is one shingle; a text without words is only like an equal
 text; case and signs do not count; null texts are empty texts; rows with a null id stay alone, with a
 null class; rows that share an id are one document; an empty table gives an empty result; other columns
@@ -291,7 +295,8 @@ def components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, staging: Staging | None = None) -> DataFrame:
-    """``id_col``, ``class_id`` (least id of the class) and ``class_size`` (documents) of each row."""
+    """``id_col``, ``class_id`` (least id of the class), ``class_size`` (documents), ``n_links`` and
+    ``similarity`` (of the text's verified links) of each row."""
     staging = staging or Staging(docs.sparkSession, "near-dups")
     idf = word_idf(docs, text_col)
     sketch = staging.put(sketches(docs, idf, id_col, text_col), "sketches")
@@ -311,7 +316,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # The ids grow with the input: a merge join at every size, rather than a broadcast while they are few.
     texts = staging.put(source.join(shared.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     found = staging.put(measured(first, texts, idf), "similarities")
-    edges = found.filter(F.col("similarity") >= similarity).select("a", "b")
+    edges = found.filter(F.col("similarity") >= similarity)
     labels = components(edges, staging, "labels-1")
     # Nodes of the buckets in which several components are left, with their distance from the leader.
     label = labels.select(F.col("id").alias("node"), "label")
@@ -340,26 +345,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     second = o.join(r, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.cell") == F.col("r.cell")) & once & like & (F.array_min(F.array_intersect("mine", "mb")) == F.col("o.bucket")))
     second = staging.put(second.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs-2")
     if second.limit(1).count():
-        more = staging.put(measured(second, texts, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "edges-2")
+        more = staging.put(measured(second, texts, idf).filter(F.col("similarity") >= similarity), "edges-2")
         if more.limit(1).count():
-            labels = components(edges.union(more), staging, "labels-2")
-    node_class = nodes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
-    rows = sketch.select("id", "h1", "h2").join(node_class, ["h1", "h2"], "left")
+            edges = edges.unionByName(more)
+            labels = components(edges, staging, "labels-2")
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
+    links = both.groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+    node_class = nodes.select("h1", "h2", "id").join(labels, "id", "left").join(links, "id", "left")
+    node_class = node_class.select("h1", "h2", F.struct(F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity").alias("of"))
+    # Written, so that the sequence that a third of all rows have, and a class of as many, can be split.
+    node_class = staging.put(node_class, "node-classes")
+    rows = sketch.select("id", "h1", "h2").filter("id is not null").join(node_class.hint("merge"), ["h1", "h2"])
     # An id that stands on several rows belongs to the least of their classes.
-    by_id = rows.filter("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    sizes = by_id.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    known = by_id.join(sizes, "class_id")
+    by_id = staging.put(rows.groupBy("id").agg(F.min("of").alias("of")).select("id", "of.*"), "by-id")
+    sizes = staging.put(by_id.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
+    known = by_id.join(sizes.hint("merge"), "class_id")
     out = sketch.select("id").join(known, "id", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    out = out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "similarity")
+    out = staging.put(out, "classes")
+    staging.clear("classes")
+    return out
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row of the least id of each class, and rows with a null id; other rows are left out."""
+    """The rows of the least id of each class, and rows with a null id; other rows are left out. Of rows
+    that share an id and a text one stays."""
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("kept")).distinct()
     renamed, names = numbered(docs)
     key = names[id_col]
-    rows = renamed.join(kept.hint("merge"), F.col(key) == F.col("kept"), "left_semi").dropDuplicates([key])
+    rows = renamed.join(kept.hint("merge"), F.col(key) == F.col("kept"), "left_semi")
+    rows = rows.withColumn("_text", F.struct(F.xxhash64(whole(names[text_col])), F.xxhash64(whole(names[text_col]), F.lit(1)))).dropDuplicates([key, "_text"]).drop("_text")
     return restored(rows.unionByName(renamed.filter(F.col(key).isNull())), names)
 
 

@@ -191,6 +191,35 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(i in edge for i in wrong) and len(wrong) <= 2  # banding may miss a pair at the threshold
 
 
+def test_near_copies_of_large_groups_are_found_and_counted(spark):
+    """Groups of hundreds of edited copies at weighted similarities around 0.8 to 0.9 of their original."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3_000)]
+    rows, group = [], {}
+    for g in range(3):
+        base = list(rng.choice(words, 400))
+        rows.append((len(rows), " ".join(base)))
+        group[len(rows) - 1] = g
+        for _ in range(200):
+            copy = base.copy()
+            for at in rng.choice(400, rng.integers(3, 12), replace=False):
+                copy[at] = str(rng.choice(words))
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, " ".join(rng.choice(words, 400))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in near_dups.near_duplicates(df).collect()}
+    idf = near_dups.word_idf(df, "text")
+    originals = {g: min(i for i, h in group.items() if h == g) for g in range(3)}
+    members = [i for i in group if i not in originals.values()]
+    sure = near_dups.similarities([rows[i][1] for i in members], [rows[originals[group[i]]][1] for i in members], idf)
+    near = [i for i, s in zip(members, sure, strict=True) if s >= 0.8]
+    assert len(near) > 300 and sum(got[i].class_id == originals[group[i]] for i in near) >= 0.99 * len(near)
+    assert all(got[i].class_size == 1 and got[i].n_links == 0 and got[i].similarity is None for i in range(len(rows) - 50, len(rows)))
+    linked = [r for r in got.values() if r.class_size > 1]
+    assert all(r.n_links >= 1 and r.similarity >= 0.8 for r in linked)
+
+
 def test_leaders_do_not_hide_links_between_other_members(spark):
     """b and c are alike but neither is like a, the least of all; they still form a class."""
     rng = np.random.default_rng(2)
@@ -436,6 +465,30 @@ def test_packing_round_trip(spark):
     assert len(bins) <= 1.02 * math.ceil(sum(r.length for r in rows) / 1024) + 1
 
 
+@pytest.mark.parametrize(("seed", "limits"), [(1, (100, 4, 4_000)), (2, (100, 100, 10_000)), (3, (64, 6, 900))])
+def test_packing_takes_the_best_of_all_open_bins(seed, limits):
+    """Against a plain vector best fit that scores every open bin for every piece."""
+    lengths = np.random.default_rng(seed).integers(1, 30, 800)
+    capacity, docs, cost = limits
+    room: list[list[int]] = []
+    want: list[list[int]] = []
+    for i in np.argsort(-lengths, kind="stable"):
+        n = int(lengths[i])
+        fits = [b for b, (t, d, c) in enumerate(room) if t >= n and d >= 1 and c >= n * n]
+        norm = lambda b, n=n: ((room[b][0] - n) ** 2 + packing.LIGHT * (((room[b][1] - 1) / docs) ** 2 + ((room[b][2] - n * n) / cost) ** 2), room[b][1], room[b][2])
+        if fits:
+            b = min(fits, key=norm)
+        else:
+            b = len(room)
+            room.append([capacity, docs, cost])
+            want.append([])
+        room[b] = [room[b][0] - n, room[b][1] - 1, room[b][2] - n * n]
+        want[b].append(n)
+    bins, _ = packing.best_fit(lengths, *limits)
+    got = [sorted(lengths[bins == b].tolist()) for b in range(bins.max() + 1)]
+    assert sorted(got) == sorted(sorted(w) for w in want)
+
+
 def test_packing_keeps_every_capacity():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 60, 3_000)
@@ -630,6 +683,8 @@ def test_odd_rows_have_defined_results(spark, odd):
     of = {r.doc_id: r for r in got["near"]}
     assert of[5].class_id == 4 and of[4].class_size == 2 and of[1].class_id == of[2].class_id == 1 and of[None].class_id is None and of[7].class_id == 7
     assert sorted(r.doc_id or 0 for r in got["one"]) == [0, 1, 3, 4, 6, 7, 8]
+    two = near_dups.keep_one(spark.createDataFrame([(1, "one text here"), (1, "another text with that id"), (1, "one text here")], "doc_id long, text string"))
+    assert sorted(r.text for r in two.collect()) == ["another text with that id", "one text here"]
     suffix = {r.doc_id: r for r in got["suffix"]}
     assert suffix[1].n_bytes == suffix[1].n_removed == 0 and suffix[5].n_removed == suffix[5].n_bytes and suffix[8].n_removed > 299_000
     prints = collections.defaultdict(set)
