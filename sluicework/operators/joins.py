@@ -11,19 +11,24 @@ from pyspark.sql.window import Window
 from ..schema import micros, seconds
 
 
-def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_key: str | None = None, time: str = "event_time", sequence: str = "sequence", how: str = "inner", version_columns: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_key: str | None = None, time: str = "event_time", sequence: str = "sequence", how: str = "inner", version_columns: list[str] | None = None, retracting: bool = False, ranges: int = 64, hot_rows: int = 100_000) -> DataFrame:
     """Each probe with the version of its key that held at its time, prefixed ``version_``.
 
     The version is the last by (time, sequence) at or before the probe; if that one is a retraction
     there is no match. Probes and versions are one sorted stream per key, so the cost is one exchange
-    and one sort however many versions a key has; no pair is built.
+    and one sort however many versions a key has; no pair is built. With ``retracting``, a negative
+    probe takes one equal probe before it away (equal in all but ``sequence`` and ``kind``).
 
-    With ``ranges``, time is cut at quantiles and a task holds a key's rows of one range: for keys that
-    hold a large share of all rows. The last version of every key and range is summed up in a row (with
-    partial results), carried over the ranges of its key, and joined back on that unique pair.
+    A key of over ``hot_rows`` rows that has more than a quarter of what a task should get is cut into
+    ``ranges`` of time, and a task holds its rows of one range. There are at most four such keys for
+    each shuffle partition, so what is known about them is small: which they are, and the last version
+    of each of their ranges, summed up with partial results and carried over the ranges.
     """
     if how not in ("inner", "left"):
         raise ValueError("an as-of join is inner or left")
+    if retracting:
+        kept = netted(probes, [c for c in probes.columns if c not in (sequence, "kind")], order=sequence)
+        probes = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("_copy", "count")
     version_key = version_key or key
     columns = version_columns if version_columns is not None else [c for c in versions.columns if c not in (version_key,)]
     held = F.struct(*[F.col(c) for c in columns])
@@ -34,22 +39,20 @@ def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_k
     right = right.withColumn("_probe", F.lit(None).cast(probe_type))
     left = p.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(sequence).alias("_s"), F.lit(None).cast(right.schema["_version"].dataType).alias("_version"), F.struct(*p.columns).alias("_probe"))
     rows = right.unionByName(left)
-    if ranges and ranges > 1:
-        at = micros("_t")
-        cuts = rows.select(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
-        bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<bigint>)")
-        rows = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= at)))
-        ends = rows.filter("_side = 0").groupBy("_k", "_range").agg(F.max_by("_version", F.struct("_t", "_s")).alias("_end"))
-        # One row for each key and range in which the key has rows, so that a carry meets every probe.
-        seen = rows.groupBy("_k", "_range").agg(F.lit(1).alias("_one")).join(ends, ["_k", "_range"], "left")
-        over = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        carried = seen.select("_k", "_range", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
-        w = Window.partitionBy("_k", "_range").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
-        found = rows.withColumn("_inside", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
-        found = found.join(carried, ["_k", "_range"]).withColumn("_last", F.coalesce("_inside", "_carried"))
-    else:
-        w = Window.partitionBy("_k").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
-        found = rows.withColumn("_last", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
+    at, spans = micros("_t"), max(ranges, 1)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.select(F.count("*")).scalar()
+    hot = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter((F.col("_n") > hot_rows) & (F.col("_n") * (4 * width) > total)).select("_k", F.lit(True).alias("_hot"))
+    ends = rows.select(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
+    place = F.floor((at - ends["low"]) / (ends["high"] - ends["low"] + 1) * spans).cast("int")
+    rows = rows.join(F.broadcast(hot), "_k", "left").withColumn("_range", F.when(F.col("_hot"), place).otherwise(0)).drop("_hot")
+    large = rows.join(F.broadcast(hot), "_k", "left_semi")
+    last = large.groupBy("_k", "_range").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_version")), F.when(F.col("_side") == 0, F.struct("_t", "_s"))).alias("_end"))
+    over = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_k", "_range", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
+    w = Window.partitionBy("_k", "_range").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_inside", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
+    found = found.join(F.broadcast(carried), ["_k", "_range"], "left").withColumn("_last", F.coalesce("_inside", "_carried"))
     hit = F.col("_last").isNotNull() & ~F.col("_last.removed")
     if how == "inner":
         found = found.filter(hit)
@@ -100,14 +103,17 @@ def interval_self(records: DataFrame, bounds: Interval, *, key: str = "key", tim
     return pairs if any_order else pairs.filter(F.col(f"left_{sequence}") < F.col(f"right_{sequence}"))
 
 
-def netted(records: DataFrame, identity: list[str]) -> DataFrame:
-    """Records left after each retraction took one equal record away; unmatched ones are ignored."""
+def netted(records: DataFrame, identity: list[str], *, order: str = "sequence") -> DataFrame:
+    """Records left after each retraction took one equal record before it away, with their ``count``;
+    retractions that meet none are ignored.
+
+    What is open is a running sum that never falls below zero: the sum less the least sum so far.
+    """
     negative = F.col("kind").isin("delete", "update_before")
-    # A retraction cancels the addition before it; what is open after the last row remains.
-    rows = records.withColumn("_d", F.when(negative, -1).otherwise(1))
-    open_ = F.aggregate(F.array_sort(F.collect_list(F.struct("sequence", "_d"))), F.lit(0), lambda n, x: F.greatest(F.lit(0), n + x["_d"]))
-    left = rows.groupBy(*identity).agg(open_.alias("count"), F.max("sequence").alias("sequence"))
-    return left.filter("count > 0")
+    upto = Window.partitionBy(*identity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = records.select(*identity, order, F.when(negative, -1).otherwise(1).alias("_d")).withColumn("_sum", F.sum("_d").over(upto))
+    open_ = (F.sum("_d") - F.least(F.lit(0), F.min("_sum"))).cast("int")
+    return rows.groupBy(*identity).agg(open_.alias("count"), F.max(order).alias(order)).filter("count > 0")
 
 
 def diff_join(left: DataFrame, right: DataFrame, bounds: Interval, *, key: str = "key", time: str = "event_time") -> DataFrame:

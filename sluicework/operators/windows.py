@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,3 +114,56 @@ def changes(records: DataFrame, spec: WindowSpec, value: Column | None = None, *
         .when(F.col("_pn") > 0, F.array(row(*old, "update_before", -1), row(*new, "update_after", 1)))
     )
     return rows.select(F.col(key).alias("key"), "window_start", "window_end", F.col(time).alias("event_time"), F.col(order).alias("sequence"), F.explode(out).alias("c")).select("key", "window_start", "window_end", "event_time", "sequence", "c.*")
+
+
+def max_changes(records: DataFrame, spec: WindowSpec, value: Column, *, key: str = "key", time: str = "event_time", order: str = "sequence") -> DataFrame:
+    """The changelog of a windowed maximum: every record of a window replaces its row, as ``changes``
+    does, with ``count`` and ``max``.
+
+    Taking back the largest value brings back the one before, so the values that a window holds are kept
+    while its rows stream by in order: a task holds the distinct values of one key's window.
+    """
+    rows = assign(records.withColumn("_diff", weight()), spec, time=time)
+    rows = rows.select(F.col(key).alias("key"), "window_start", "window_end", F.col(time).alias("event_time"), F.col(order).alias("sequence"), value.cast("double").alias("_v"), "_diff")
+    names = ["key", "window_start", "window_end", "event_time", "sequence"]
+
+    def run(batches):
+        at, held, heap, count, top = None, {}, [], 0, None
+        for batch in batches:
+            take, counts, tops, kinds, diffs = [], [], [], [], []
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), strict=True)
+            for i, (group, v, d) in enumerate(zip(keys, batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                if group != at:
+                    at, held, heap, count, top = group, {}, [], 0, None
+                before = (count, top)
+                count += d
+                held[v] = held.get(v, 0) + d
+                if held[v] < 0 or count < 0:
+                    raise ValueError("a window was retracted more often than it was added to")
+                if d > 0 and held[v] == 1:
+                    heapq.heappush(heap, -v)
+                while heap and not held.get(-heap[0]):
+                    held.pop(-heapq.heappop(heap), None)
+                top = -heap[0] if heap else None
+                rows = [(*before, "update_before" if count else "delete", -1)] if before[0] else []
+                rows += [(count, top, "update_after" if before[0] else "insert", 1)] if count else []
+                for n, t, kind, diff in rows:
+                    take.append(i)
+                    counts.append(n)
+                    tops.append(t)
+                    kinds.append(kind)
+                    diffs.append(diff)
+            which = pa.array(take, pa.int32())
+            made = [pa.array(counts, pa.int64()), pa.array(tops, pa.float64()), pa.array(kinds, pa.string()), pa.array(diffs, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(which) for n in range(5)), *made], [*names, "count", "max", "kind", "diff"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*names).dtypes) + ", count long, max double, kind string, diff long"
+    return rows.repartition("key", "window_start").sortWithinPartitions("key", "window_start", "sequence").mapInArrow(run, schema)
+
+
+def fired(windows: DataFrame, schedule: str, stream: str, aggregation: str, watermark: float, *, finalized: bool = False, lateness: float = 0.0) -> DataFrame:
+    """Windows that have fired, as messages: with the watermark, whether the input was sealed, and an id
+    that a repeated run gives again. A sealed input fires all windows."""
+    rows = windows if finalized else due(windows, watermark, lateness)
+    ident = F.concat_ws(":", F.lit("window"), F.lit(schedule), F.coalesce("key", F.lit("")), micros("window_start").cast("string"))
+    return rows.select(F.lit(schedule).alias("schedule"), F.lit(stream).alias("stream"), F.lit(aggregation).alias("aggregation"), *rows.columns, F.lit(watermark).alias("watermark"), F.lit(finalized).alias("finalized"), ident.alias("id"))
