@@ -15,18 +15,30 @@ def materialize(changes: DataFrame, columns: list[str]) -> DataFrame:
     return fold(changes, columns)
 
 
-def snapshot(spark: SparkSession, views: dict[str, DataFrame], folder: str, name: str, *, positions: DataFrame | None = None, limit: int = LIMIT) -> None:
-    """Write each view under ``folder/name``; an existing snapshot is an error, as snapshots never
-    change. ``positions`` (partition, sequence) records the cut of the input."""
+def snapshot(spark: SparkSession, views: dict[str, DataFrame], folder: str, name: str, *, inputs: dict[str, tuple[str, str]] | None = None, positions: DataFrame | None = None, limit: int = LIMIT) -> str:
+    """Write each view under ``folder/name`` and return the kind of the cut; an existing snapshot is an
+    error, as snapshots never change, and so is a view of more than ``limit`` rows.
+
+    Several views are only taken together where they show one cut of their input: all are filters of
+    one stream. ``inputs`` has (kind, stream) of each view; the cut is then ``shared_input_cut``, else
+    ``operator_output_cut``. ``positions`` (partition, sequence) records the cut of the input.
+    """
     if not 1 <= len(views) <= MOST:
         raise ValueError(f"a snapshot has 1 to {MOST} views")
-    for view in views.values():
-        if view.limit(limit + 1).count() > limit:
-            raise ValueError(f"a view has more than {limit} rows")
+    of = [(inputs or {}).get(title) for title in views]
+    if len(views) > 1 and (None in of or len({stream for _, stream in of}) > 1 or any(kind != "filter" for kind, _ in of)):
+        raise ValueError("several views need to be filters of one stream")
+    cut = "shared_input_cut" if of[0] is not None and of[0][0] == "filter" else "operator_output_cut"
+    spark.createDataFrame([(name, cut)], "name string, cut string").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{name}/_cut")
     for title, view in views.items():
-        view.write.mode("errorifexists").parquet(f"{folder}/{name}/{title}")
+        path = f"{folder}/{name}/{title}"
+        view.limit(limit + 1).write.mode("errorifexists").parquet(path)
+        if spark.read.parquet(path).count() > limit:
+            delete(spark, folder, name)
+            raise ValueError(f"a view has more than {limit} rows")
     if positions is not None:
         positions.groupBy("partition").agg(F.max("sequence").alias("through")).write.mode("errorifexists").parquet(f"{folder}/{name}/_positions")
+    return cut
 
 
 def read(spark: SparkSession, folder: str, name: str, view: str) -> DataFrame:

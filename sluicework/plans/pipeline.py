@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import key_group
 from ..operators import changelog, filters, joins, process, ranking, windows
+from ..operators.admission import operator_frontier
 from ..schema import StreamPolicy, weight
 
+#: What a change has beside its value.
+FORWARDED = frozenset("key event_time sequence kind diff".split())
 RETRACTS = {"normalize", "top_n", "window", "process"}
 COLLECTIONS = {"normalize", "top_n"}
 
@@ -100,6 +103,22 @@ class Graph:
     def process(self, name: str, source: str, definition: process.Process) -> Graph:
         return self._add(name, "process", (source,), lambda d: process.fold(d, definition), definition=definition.name, version=definition.version)
 
+    def connect(self, operator: str, stream: str, *, key: str = "key", value: tuple[str, ...] = ()) -> Graph:
+        """Forward an operator's changes to a declared stream. The stream's progress is the operator's,
+        so it is source-managed, and it takes changes from one operator alone."""
+        if any(n.kind == "forward" and n.name == stream for n in self.nodes.values()):
+            raise ValueError(f"{stream} has an upstream")
+        if stream in self.nodes:
+            raise ValueError(f"{stream} is an operator")
+        if stream not in self.streams:
+            raise ValueError(f"{stream} is not declared")
+        if self.streams[stream].watermark != "source_managed":
+            raise ValueError(f"{stream} takes its progress from {operator} and needs to be source_managed")
+        policy = self.streams[stream]
+        run = lambda d: forward(d, operator, stream=stream, value=list(value) or [c for c in d.columns if c not in FORWARDED], key=key, partitions=policy.partitions)
+        self.nodes[stream] = Node(stream, "forward", (operator,), (("key", key), ("value", value)), run)
+        return self
+
     def map(self, name: str, source: str, function: Callable[[DataFrame], DataFrame]) -> Graph:
         """Any function of a data frame, for projections and for shaping an output into records."""
         return self._add(name, "map", (source,), function, function=getattr(function, "__name__", "function"))
@@ -110,7 +129,7 @@ class Graph:
         out: list[Node] = []
 
         def visit(name: str, above: tuple[str, ...]) -> None:
-            if name in self.streams:
+            if name in self.streams and name not in self.nodes:
                 return
             if name not in self.nodes:
                 raise ValueError(f"{above[-1]} reads {name}, which nothing writes")
@@ -142,7 +161,7 @@ class Graph:
             for i in node.inputs:
                 if node.kind == "deduplicate" and i in found:
                     raise ValueError(f"{node.name} takes no retractions, which {i} may give")
-                if node.kind in COLLECTIONS and i in self.nodes and self.nodes[i].kind in RETRACTS and options["mode"] != "retract":
+                if node.kind in COLLECTIONS and i in self.nodes and self.nodes[i].kind in RETRACTS | {"forward"} and options["mode"] != "retract":
                     raise ValueError(f"{node.name} reads the changes of {i} and needs retract mode")
                 if i in self.streams and self.streams[i].late_policy == "accept" and node.kind in ("window", "deduplicate", "temporal_join", "interval_join"):
                     raise ValueError(f"{node.name} does not take {i}, which accepts records of any lateness")
@@ -160,12 +179,38 @@ class Graph:
         return "\n".join(lines)
 
     def run(self, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Lazy outputs of all operators, by name."""
+        """Lazy outputs of all operators and forwarded streams, by name."""
         self.validate()
-        missing = sorted(set(self.streams) - set(sources))
+        missing = sorted(set(self.streams) - set(sources) - set(self.nodes))
         if missing:
             raise ValueError(f"no data for {', '.join(missing)}")
         made = dict(sources)
         for node in self.order():
             made[node.name] = node.run(*[made[i] for i in node.inputs])
         return {n: made[n] for n in self.nodes}
+
+    def backfill(self, name: str, sources: dict[str, DataFrame]) -> DataFrame:
+        """The output of one operator over what its sources have retained, as if it had been registered
+        before they began; only what stands upstream of it is composed."""
+        self.validate()
+        made = dict(sources)
+        needed = {name}
+        for node in reversed(self.order()):
+            if node.name in needed:
+                needed |= set(node.inputs)
+        for node in self.order():
+            if node.name in needed:
+                made[node.name] = node.run(*[made[i] for i in node.inputs])
+        return made[name]
+
+    def frontiers(self, streams: dict[str, float | None], *, pending: tuple[str, ...] = ()) -> dict[str, float | None]:
+        """Through which time (seconds) the output of every operator is complete, from the frontiers of
+        the streams that sources write to (none if unknown, infinite if sealed). A forwarded stream's
+        partitions advance to its operator's frontier, less its own lateness, and end with it."""
+        known = {n: streams.get(n) for n in self.streams}
+        for node in self.order():
+            found = operator_frontier(node.kind, [known[i] for i in node.inputs], pending=node.name in pending)
+            if node.kind == "forward" and found is not None:
+                found -= self.streams[node.name].lateness
+            known[node.name] = found
+        return known
