@@ -142,8 +142,8 @@ def test_as_of_by_ranges_agrees_with_one_range(spark):
     kinds = ["upsert", "upsert", "delete"]
     versions = records(spark, [(rng.choice("aaab"), rng.randrange(200), (i,), rng.choice(kinds)) for i in range(120)])
     probes = records(spark, [(rng.choice("aaabc"), rng.randrange(220), (i,)) for i in range(200)])
-    pick = lambda ranges: sorted((r.value.v, r.version_value and r.version_value.v) for r in joins.as_of(probes, versions, how="left", ranges=ranges).collect())
-    assert pick(None) == pick(7)
+    pick = lambda ranges: sorted((r.value.v, r.version_value and r.version_value.v) for r in joins.as_of(probes, versions, how="left", ranges=ranges, hot_rows=1).collect())
+    assert pick(1) == pick(7)
 
 
 def test_deduplicate_by_event_time(spark):
@@ -275,16 +275,28 @@ def test_idempotent_admission(spark):
         admission.idempotent(clash).collect()
 
 
-def test_scaling_advice():
-    policy = scaling.ScalingPolicy(maximum=10)
-    grow = scaling.advise(scaling.Load(0, 0, 0, 100), scaling.Load(1, 20_000, 100, 5_100), 2, 10, policy)
-    assert (grow.replicas, grow.reason) == (7, "traffic") and sorted(sum(grow.shares, ())) == list(range(1, 11))
-    idle = scaling.advise(scaling.Load(0, 0, 0, 100), scaling.Load(60, 0, 0, 100), 4, 8, scaling.ScalingPolicy(minimum=1, maximum=8, settle=60), spare_for=60)
-    assert (idle.replicas, idle.reason) == (3, "sustained spare capacity")
-    assert scaling.advise(scaling.Load(0, 0, 0, 1), scaling.Load(10, 0, 0, 1), 8, 4).replicas == 4
-    tight = scaling.ScalingPolicy(latency=1, rate_each=1000, headroom=1)
+def recommended(spark, before, now, replicas, partitions, targets, spare_for=0.0):
+    """before, now: (at, pending, running, completed, oldest age)"""
+    rows = [(t, p, r, 0, c, age, replicas, spare_for) for t, p, r, c, age in (before, now)]
+    found = scaling.recommend(spark.createDataFrame([tuple(map(float, x[:1])) + x[1:] for x in rows], scaling.SAMPLE), partitions, targets).collect()
+    return [(r.replicas_wanted, r.reason) for r in found][0]
+
+
+def test_scaling_recommendations(spark):
+    of = scaling.Targets
+    assert recommended(spark, (0, 0, 0, 100, None), (1, 20_000, 100, 5_100, None), 2, 10, of(maximum=10)) == (7, "traffic")
+    assert recommended(spark, (0, 0, 0, 100, None), (60, 0, 0, 100, None), 4, 8, of(minimum=1, maximum=8, settle=60.0), 60.0) == (3, "sustained spare capacity")
+    assert recommended(spark, (0, 0, 0, 1, None), (10, 0, 0, 1, None), 8, 4, of()) == (4, "partition ceiling")
+    assert recommended(spark, (0, 0, 0, 1, None), (10, 1, 0, 1, None), 3, 4, of()) == (3, "scale-down stabilization")
+    tight = of(latency=1.0, rate_each=1000.0, headroom=1.0)
     for age, want in ((0.5, 1), (0.96, 3), (1.1, 8)):
-        assert scaling.advise(scaling.Load(0, 100, 0, 0, age), scaling.Load(1, 100, 0, 0, age), 1, 8, tight).replicas == want
+        assert recommended(spark, (0, 100, 0, 0, age), (1, 100, 0, 0, age), 1, 8, tight)[0] == want
+    assert scaling.shares(10, 3) == ((1, 4, 7, 10), (2, 5, 8), (3, 6, 9)) and scaling.shares(2, 5) == ((1,), (2,))
+    for wrong in (of(minimum=3, maximum=1), of(headroom=0.5), of(latency=-1.0)):
+        with pytest.raises(ValueError, match="no sense"):
+            scaling.checked(wrong)
+    with pytest.raises(Exception, match="forward in time"):
+        recommended(spark, (5, 0, 0, 100, None), (6, 0, 0, 90, None), 1, 1, of())
 
 
 def test_graph_is_validated_and_explained(spark):
