@@ -30,7 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staging:
-    """Tables written to the shared folder to cut lineage; a lost executor re-reads them."""
+    """Tables written to the shared folder to cut lineage; a lost executor re-reads them.
+
+    ``live`` has all that were made and hold tables, so that whoever has written a result can remove
+    what went into it.
+    """
+
+    live: list[Staging] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -41,6 +47,8 @@ class Staging:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         self.names.add(name)
+        if self not in Staging.live:
+            Staging.live.append(self)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -54,6 +62,8 @@ class Staging:
         """Remove all tables but these, once no other is read any more."""
         for name in sorted(self.names - set(kept)):
             self.drop(name)
+        if not self.names and self in Staging.live:
+            Staging.live.remove(self)
 
 
 def release() -> None:

@@ -6,8 +6,6 @@ from . import fingerprints, html_text, mixing, near_dups, neighbours, packing, q
 
 
 def queries():
-    import corpus_pipeline
-
     return {
         "op1_suffix_dedup": suffix_dedup.op1,
         "op2_imatch_fingerprints": fingerprints.op2,
@@ -19,7 +17,6 @@ def queries():
         "op8_string_kernel_toxicity": toxicity.op8,
         "op9_secret_scans": secret_scan.op9,
         "op10_nn_descent": neighbours.op10,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -152,10 +152,9 @@ def test_fingerprints_of_short_texts_differ(spark):
     assert all(r.near_next == (r.doc_id % 2 == 0 and r.doc_id < 200) for r in got)
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    docs = docs_of(spark, MIDDLE)
-    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
-    texts = texts_of(spark, MIDDLE)
+def classes_by_brute_force(docs) -> tuple[dict, set]:
+    """(least id of the class of each document, documents with a similarity near the threshold)."""
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
     idf = near_dups.word_idf(docs, "text")
     sets = {}
     for i, t in texts.items():
@@ -187,7 +186,14 @@ def test_near_duplicates_equal_brute_force(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
         if 0.79 < j < 0.86:
             edge |= {a, b}
-    wrong = [i for i in texts if got[i] != find(i)]
+    return {i: find(i) for i in texts}, edge
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = docs_of(spark, MIDDLE)
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+    want, edge = classes_by_brute_force(docs)
+    wrong = [i for i in want if got[i] != want[i]]
     assert all(i in edge for i in wrong) and len(wrong) <= 2  # banding may miss a pair at the threshold
 
 
@@ -703,16 +709,98 @@ def test_empty_tables(spark, none):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0).collect() == []
 
 
-def test_pipeline(spark):
+def hidden_by_brute_force(rows: dict) -> dict:
+    """Texts with their live values replaced; rows: id -> (text, owner)."""
+    found, owners, holders = {}, collections.defaultdict(set), collections.defaultdict(set)
+    patterns = [secret_scan.ASSIGN.replace("(?i:", "(?:"), secret_scan.ACCESS, secret_scan.HEX]
+    for i, (text, owner) in rows.items():
+        spans = []
+        for rank, (pattern, group, least) in enumerate(zip(patterns, (2, 1, 1), (12, 18, 16), strict=True)):
+            folded = re.sub("password|passwd|secret|token|api_?key", lambda m: m[0].lower(), text, flags=re.I) if rank == 0 else text
+            spans += [(m.start(), m.end(), text[m.start(group) : m.end(group)]) for m in re.finditer(pattern, folded) if len(m[group]) >= least]
+        base = list(spans)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+            if re.search("[0-9]", m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+                spans.append((m.start(), m.end(), m[0]))
+        found[i] = sorted(spans)
+        for _, _, value in spans:
+            owners[value].add(owner)
+            holders[value].add(i)
+    out = {}
+    for i, (text, _) in rows.items():
+        at, done = 0, []
+        for a, b, value in found[i]:
+            live = len(owners[value]) < 3 and (len(owners[value]) == 1 or len(holders[value]) < 10)
+            if live and a >= at:
+                done += [text[at:a], "[SECRET]"]
+            if live:
+                at = max(at, b)
+        out[i] = "".join([*done, text[at:]])
+    return out
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    """Each stage on what the stage before kept: scores one by one, classes by all pairs, spans by plain
+    regular expressions, copies by one running sum, ids by the tokenizer itself."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources", "best-fit packing"]
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    staging = common.Staging(spark, "plain")
     docs = docs_of(spark)
-    sizes = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        docs = common.Staging(spark, "test").put(out, "stage")
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] == sizes[2] <= sizes[3]
+    rows = {r.doc_id: r for r in docs.collect()}
+    good = staging.put(stages[0](spark, docs, SMALL), "good")
+    model = quality.fit_quality(docs, common.read_table(spark, SMALL, "labels"))
+    kept = {i for i, r in rows.items() if model.score([r.text or ""])[0] >= 0.3}
+    assert {r.doc_id for r in good.collect()} == kept and 0 < len(kept) < len(rows)
+    one = staging.put(stages[1](spark, good, SMALL), "one")
+    classes, edge = classes_by_brute_force(good)
+    left = {r.doc_id for r in one.collect()}
+    assert not (left ^ set(classes.values())) - edge and len(left) < len(kept)
+    hidden = staging.put(stages[2](spark, one, SMALL), "hidden")
+    want = hidden_by_brute_force({r.doc_id: (r.text or "", r.source) for r in one.collect()})
+    got = {r.doc_id: r for r in hidden.collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values()) and any("[SECRET]" in t for t in want.values())
+    mixed = staging.put(stages[3](spark, hidden, SMALL), "mixed")
+    copies = collections.Counter(r.doc_id for r in mixed.collect())
+    plain = in_duckdb("SELECT doc_id, count(*) AS n FROM (" + mixing.OP7_SQL + ") GROUP BY doc_id", documents=hidden.toPandas())
+    assert sorted(copies.items()) == sorted(plain) and set(copies) == set(want)
+    packed = stages[4](spark, mixed, SMALL).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    expected = collections.Counter()
+    for i, n in copies.items():
+        ids = [*tokenizer.encode(want[i], add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            expected[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += n
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == expected
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        assert [a for a, _ in sorted(held)] == [0, *np.cumsum([n for _, n in sorted(held)])[:-1].tolist()] and sum(n for _, n in held) <= 1024
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs, marks in (("odd", odd, labels), ("none", none, labels.limit(0))):
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / name / "labels.parquet"))
+        now = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.Staging(spark, "odd").put(stage(spark, now, str(tmp_path / name)), "stage")
+            assert now.columns == docs.columns
+        packed = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert (packed.count() > 0) == (name == "odd")
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.select("sequence_id").distinct().count() > 0
