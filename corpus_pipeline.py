@@ -52,5 +52,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     staging = Staging(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
+        before = list(Staging.live)
         docs = staging.put(stage(spark, docs, sf_dir), f"stage-{i}")
+        # What the stage has staged, and the stage before it, are written out now.
+        for made in [s for s in Staging.live if s is not staging and s not in before]:
+            made.clear()
+        if i:
+            staging.drop(f"stage-{i - 1}")
     return docs
