@@ -26,6 +26,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -254,29 +256,32 @@ def exact_scan(queries: DataFrame, vectors: DataFrame, top: int, staging: Stagin
 
 
 def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, staging: Staging) -> DataFrame:
-    """(q, node, d) of all nodes that the queries (q, start, query) came by."""
+    """(q, node, d): the nearest ``BEAM`` nodes that each of the queries (q, start, query) came by.
+
+    A beam's rows are done once they were expanded; those marked ``now`` are next. What was measured is
+    written once, hop by hop, and only looked up afterwards.
+    """
     edges = exploded(graph)
     links = staging.put(edges.select("id", "nbr").unionByName(reverse_sample(edges, 2 * LINKS, 0).select("id", "nbr")).distinct(), "links")
     vectors = nodes.select(F.col("id").alias("node"), "vector")
     asked = queries.select("q", "query")
-    begin = queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
-    known = staging.put(begin, "known-0")
-    near = Window.partitionBy("q").orderBy("d", "node")
+    near, rest = Window.partitionBy("q").orderBy("d", "node"), Window.partitionBy("q", "done").orderBy("d", "node")
+    begin = queries.select("q", F.col("start").alias("node"), F.lit(0.0).alias("d"))
+    seen = [begin.select("q", "node")]
+    beam = staging.put(begin.withColumn("done", F.lit(False)).withColumn("now", F.lit(True)), "beam-0")
     hop = 0
-    while True:
+    while beam.filter("now").limit(1).count():
         hop += 1
-        # The nearest unexpanded nodes among the beam of each query.
-        ranked = known.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= BEAM).filter("not done")
-        front = staging.put(ranked.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= EXPAND).select("q", "node"), f"front-{hop}")
-        if front.limit(1).count() == 0:
-            return known.select("q", "node", "d")
-        met = front.join(links.withColumnRenamed("id", "node"), "node").select("q", F.col("nbr").alias("node")).distinct()
-        fresh = met.join(known.select("q", "node"), ["q", "node"], "left_anti")
-        measured = distances(fresh.join(vectors, "node").join(asked, "q")).withColumn("done", F.lit(False))
-        marked = known.join(front.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        known = staging.put(marked.unionByName(measured), f"known-{hop}")
-        staging.drop(f"known-{hop - 1}")
-        staging.drop(f"front-{hop}")
+        met = beam.filter("now").join(links.withColumnRenamed("id", "node"), "node").select("q", F.col("nbr").alias("node")).distinct()
+        fresh = met.join(reduce(DataFrame.unionByName, seen), ["q", "node"], "left_anti")
+        measured = staging.put(distances(fresh.join(vectors, "node").join(asked, "q")), f"seen-{hop}")
+        seen.append(measured.select("q", "node"))
+        every = beam.select("q", "node", "d", (F.col("done") | F.col("now")).alias("done")).unionByName(measured.withColumn("done", F.lit(False)))
+        best = every.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= BEAM)
+        best = best.select("q", "node", "d", "done", (~F.col("done") & (F.row_number().over(rest) <= EXPAND)).alias("now"))
+        beam = staging.put(best, f"beam-{hop}")
+        staging.drop(f"beam-{hop - 1}")
+    return beam.select("q", "node", "d")
 
 
 def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, staging: Staging | None = None) -> DataFrame:
