@@ -250,7 +250,16 @@ def topn_changes(spark, d):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
 def collection_rows(spark, d):
     """The rows of one key; more than the limit would be an error."""
-    return ranking.limited(tables.table(spark, d, "orders").filter("o_custkey = 7").select("o_orderkey", "o_totalprice"), 1_000)
+    orders = tables.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return views.rows_of(orders, where={"o_custkey": 7}, limit=1_000).drop("o_custkey")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)")
+def timers_due(spark, d):
+    """A timer at every event; those at or before the watermark fire."""
+    rows = tables.table(spark, d, "events")
+    top = rows.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return admission.timers_due(rows.withColumnRenamed("ts", "at"), top / 1e6 - 3 * DAY).select("event_id", "user_id")
 
 
 @query("""SELECT '["' || user_id || '","' || event_type || '"]' AS group_key, count(*) AS n FROM events GROUP BY ALL""")

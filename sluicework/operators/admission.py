@@ -305,6 +305,13 @@ def timer_due(at: float, watermark: float | None, *, sealed: bool = False) -> bo
     return sealed or watermark is not None and watermark >= at
 
 
+def timers_due(timers: DataFrame, watermark: float | None, *, at: str = "at", sealed: bool = False) -> DataFrame:
+    """The event-time timers (and waits) that fire, as ``timer_due`` says of one."""
+    if sealed:
+        return timers
+    return timers.filter(F.lit(False) if watermark is None else micros(at) <= seconds(watermark))
+
+
 def declare_complete(partitions: list[dict], through: float, policy: StreamPolicy) -> list[dict]:
     """Partitions after a declaration that the stream is complete through a time: the watermark of
     those that are not sealed becomes the time plus the lateness; a lower one is an error."""

@@ -38,6 +38,14 @@ def sortable(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows
 
 
+def pinned(rows: DataFrame, path: str, *, value: str = "value") -> DataFrame:
+    """Rows of JSON texts, of which a sort field keeps one scalar type for good; nulls have none."""
+    at = "$" + "".join(f"['{n}']" for n in path.split("."))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(value)), at, "variant"))
+    kinds = rows.select(F.count_distinct(F.when(kind != "VOID", F.regexp_replace(kind, r"\(.*", "")))).scalar()
+    return require(rows, kinds <= 1, f"sort field {path} has values of several types")
+
+
 def top_n(rows: DataFrame, order_by: list[tuple[str, str]], n: int, *, partition_by: list[str] | None = None, ties: list[str], count: str | None = None) -> DataFrame:
     """The first n row occurrences of each group; with ``count`` a row stands for that many.
 
@@ -47,8 +55,11 @@ def top_n(rows: DataFrame, order_by: list[tuple[str, str]], n: int, *, partition
     """
     if not 1 <= n <= 10_000:
         raise ValueError("n is from 1 to 10000")
-    rows = sortable(rows, [f for f, _ in order_by])
     group = partition_by or []
+    for fields in (group, [f for f, _ in order_by]):
+        if len(set(fields)) != len(fields) or not all(fields):
+            raise ValueError("group and sort fields are named once each")
+    rows = sortable(rows, [f for f, _ in order_by])
     w = Window.partitionBy(*group).orderBy(*ordering(order_by, ties))
     best = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
     if count is None:

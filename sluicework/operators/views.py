@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .changelog import fold
+from .ranking import limited
 
 LIMIT, MOST = 10_000, 32
 
@@ -15,6 +16,14 @@ def materialize(changes: DataFrame, columns: list[str]) -> DataFrame:
     return fold(changes, columns)
 
 
+def rows_of(view: DataFrame, *, where: dict | None = None, limit: int = LIMIT) -> DataFrame:
+    """The current rows of a collection or view, all or those of one key or group; more than ``limit``
+    are an error rather than a part of them. The condition is a plain one and reaches the scan."""
+    for name, value in (where or {}).items():
+        view = view.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return limited(view, limit)
+
+
 def snapshot(spark: SparkSession, views: dict[str, DataFrame], folder: str, name: str, *, inputs: dict[str, tuple[str, str]] | None = None, positions: DataFrame | None = None, limit: int = LIMIT) -> str:
     """Write each view under ``folder/name`` and return the kind of the cut; an existing snapshot is an
     error, as snapshots never change, and so is a view of more than ``limit`` rows.

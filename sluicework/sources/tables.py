@@ -15,6 +15,12 @@ def table_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def scan(records: DataFrame, *, after: int | None = None) -> DataFrame:
+    """Retained records in admission order, from a sequence on; the condition reaches the scan."""
+    rows = records if after is None else records.filter(F.col("sequence") > after)
+    return rows.orderBy("sequence")
+
+
 def envelope(rows: DataFrame, *, stream: str, key: str | None, time: str, sequence: str, value: list[str], kind: str | None = None, partition: str | None = None, event_id: str | None = None) -> DataFrame:
     """Rows as records: key as text, value as a struct that column pruning sees through."""
     pick = lambda name, default: F.col(name) if name else F.lit(default)

@@ -321,6 +321,20 @@ def test_group_keys_limits_and_gaps(spark):
     assert sorted((r.source_partition, r.expected, r.found) for r in admission.offset_gaps(gaps).collect()) == [(0, 2, 4), (1, 0, 2)]
 
 
+def test_reads_types_and_timers(spark):
+    rows = spark.createDataFrame([(3, "a", '{"v": 1}'), (1, None, '{"v": null}'), (2, "b", '{"v": 2}')], "sequence long, key string, value string")
+    assert [r.sequence for r in tables.scan(rows, after=1).collect()] == [2, 3]
+    assert [r.sequence for r in views.rows_of(rows, where={"key": None}).collect()] == [1] and views.rows_of(rows, where={"key": "b"}).count() == 1
+    assert ranking.pinned(rows, "v").count() == 3
+    with pytest.raises(Exception, match="several types"):
+        ranking.pinned(rows.unionByName(spark.createDataFrame([(4, "c", '{"v": "x"}')], rows.schema)), "v").collect()
+    for wrong in ({"partition_by": ["key", "key"]}, {"partition_by": [""]}):
+        with pytest.raises(ValueError, match="once each"):
+            ranking.top_n(rows, [("sequence", "asc")], 1, ties=["key"], **wrong)
+    timers = spark.createDataFrame([(1, at(5)), (2, at(9))], "id int, at timestamp_ntz")
+    assert [r.id for r in admission.timers_due(timers, 5.0).collect()] == [1] and admission.timers_due(timers, None).count() == 0 and admission.timers_due(timers, None, sealed=True).count() == 2
+
+
 def handler(state, record):
     state["n"] = state.get("n", 0) + record["v"]
     if record["v"] == 13:

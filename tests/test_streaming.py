@@ -89,3 +89,43 @@ def test_interval_join_on_streams(spark, tmp_path):
     right = stream(spark, tmp_path / "r", [("a", t(14), "country"), ("a", t(17), "outside"), ("b", t(23), "low")], schema)
     got = collect(spark, streaming.interval_join(left, right, Interval(0, 5), disorder=60), tmp_path, "out")
     assert sorted((r.left, r.right) for r in got) == [("login-a", "country"), ("login-b", "low")]
+
+
+def test_joined_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    schema = "key string, event_time timestamp, body string"
+    sides = {}
+    for side in ("left", "right"):
+        (tmp_path / side).mkdir()
+        sides[side] = stream(spark, tmp_path / side, [("a", t(20 * i), f"{side}{i}") for i in range(12)], schema)
+    joined = streaming.interval_join(sides["left"], sides["right"], Interval(0, 5), disorder=1)
+    q = joined.writeStream.format("memory").queryName("dropped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("dropped").count() == 12
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_versions_that_no_probe_needs_are_dropped():
+    """Of the versions at or before the frontier the newest stays."""
+    from types import SimpleNamespace as N
+
+    from sluicework.streaming.processors import AsOfJoin
+
+    class Held:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    join = AsOfJoin("left")
+    join.probes = Held([(7_000_000, 0, "p1"), (30_000_000, 1, "p2")])
+    join.versions = Held([(1_000_000, 0, "v1", False), (5_000_000, 1, "v2", False), (9_000_000, 2, "v3", False), (40_000_000, 3, "v4", False)])
+    found = list(join.handleExpiredTimer(("a",), None, N(getExpiryTimeInMs=lambda: 10_000)))
+    assert [(r.probe, r.version) for r in found] == [("p1", "v2")]
+    assert [v[2] for v in join.versions.rows] == ["v3", "v4"] and [p[2] for p in join.probes.rows] == ["p2"]
