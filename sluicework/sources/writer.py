@@ -98,6 +98,11 @@ class StreamWriter:
         if rows:
             self._append(self.spark.createDataFrame(rows, "partition int, sealed boolean, source_id string, source_partition int, source_offset long"))
 
+    def commits(self) -> DataFrame:
+        """One row for each batch that went in: its records, sequences and checkpoint."""
+        rows = self.spark.read.schema(f"{STORED}, batch long").option("basePath", self.folder).parquet(self.folder)
+        return rows.groupBy("batch").agg(F.count("event_time").alias("records"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.max("checkpoint").alias("checkpoint"))
+
     def records(self) -> DataFrame:
         """The folder as a bounded stream, in the order of ``sequence`` by the reader."""
         return self.stored().filter("declared is null and not coalesce(sealed, false)")

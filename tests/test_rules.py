@@ -13,6 +13,7 @@ from sluicework.operators import admission, changelog, joins, process, ranking,
 from sluicework.plans.pipeline import Graph
 from sluicework.schema import StreamPolicy
 from sluicework.sources import tables
+from sluicework.sources.feed import events_of, follow
 from sluicework.sources.sinks import Outbox, messages
 from sluicework.sources.writer import RECORD, StreamWriter
 
@@ -200,6 +201,7 @@ def test_stream_writer(spark, tmp_path):
             out.advance_watermark(0, 2.0)
         assert out.cursor() == {0: 5, 1: 0 + 1} and out.checkpoint() == "c1"
     again = StreamWriter(spark, folder, "src", partitions=2)
+    assert [(r.records, r.first, r.last, r.checkpoint) for r in again.commits().orderBy("batch").collect()][:2] == [(3, 0, 2, "c1"), (2, 3, 4, None)]
     again.seal()
     assert [r.sequence for r in again.records().orderBy("sequence").collect()] == [0, 1, 2, 3, 4, 5]
     assert again.stored().filter("sealed").count() == 2
@@ -210,6 +212,23 @@ def test_stream_writer(spark, tmp_path):
     assert spark.table("writer_out").filter("event_id is not null").count() == 6
 
 
+def test_feeds_are_followed_in_batches(spark, tmp_path):
+    lines = [line for i in range(5) for line in (f"id: {i}", "event: change", f'data: {{"user": "u{i % 2}",', f'data: "at": {i}}}', "")] + [": comment", "data: no json", "", "data: [1]", ""]
+    writer = StreamWriter(spark, str(tmp_path / "feed"), "sse")
+    options = {"key": lambda b: b["user"], "time": lambda b: b["at"], "size": 2}
+    assert follow(list(events_of(lines))[:3], writer, **options) == 3 and writer.checkpoint() == "2"
+    assert follow(events_of(lines), writer, **options) == 2 and follow(events_of(lines), writer, **options) == 0
+    got = writer.records().orderBy("sequence").collect()
+    assert [(r.event_id, r.key, r.source_offset) for r in got] == [(str(i), f"u{i % 2}", i) for i in range(5)]
+    assert writer.commits().count() == 3 and writer.checkpoint() == "4"
+
+
+@pytest.mark.parametrize("wrong", [{"partitions": 0}, {"watermark": "x"}, {"late_policy": "x"}, {"disorder": -1.0}, {"lateness": math.nan}, {"drift": -1.0}, {"idle_timeout": math.inf}])
+def test_stream_policies_are_checked(wrong):
+    with pytest.raises(ValueError):
+        StreamPolicy(**wrong)
+
+
 def test_snapshots_show_one_cut(spark, tmp_path):
     folder = str(tmp_path)
     a, b = spark.range(5).withColumn("count", F.lit(1)), spark.range(3).withColumn("count", F.lit(1))
