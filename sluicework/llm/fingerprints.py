@@ -30,7 +30,7 @@ from .common import read_table, whole, width
 LOW, HIGH = 0.004, 0.25
 #: (share of the lexicon kept as a power of 1/2, how many sub-lexicons of that size)
 SUBSETS = ((3, 4), (4, 5), (5, 6), (6, 6), (7, 5), (8, 4), (9, 2))
-#: Every sub-lexicon: which bits of a term's lots must have which value.
+#: Every sub-lexicon: which bits of a term's lots (those from ``at`` on) must have which value.
 LOTS = [(sum(p for p, _ in SUBSETS[:g]), (1 << power) - 1, lot) for g, (power, count) in enumerate(SUBSETS) for lot in range(count)]
 #: Hexadecimal digits of a term's lots and of a hash.
 LOT_DIGITS, DIGITS = 11, 15
@@ -60,12 +60,22 @@ def prints(df: DataFrame, text: str, out: str, known: list[str]) -> DataFrame:
     lots = F.transform(F.expr(f"filter(_terms, t -> t IN ({listed}))"), lambda t: F.struct(t.alias("t"), number(F.md5(t), LOT_DIGITS).alias("lots")))
     df = df.withColumn("_terms", terms(F.col(text))).withColumn("_known", F.sort_array(lots))
 
+    # The terms of any sub-lexicon of a size first: each sub-lexicon then looks through these alone.
+    of_size = {at: f"_of_{at}" for at, _, _ in LOTS}
+    value = lambda k, at, mask: F.shiftright(k["lots"], at).bitwiseAND(mask)
+
+    def any_of(at: int, mask: int, count: int) -> Column:
+        return F.filter("_known", lambda k: value(k, at, mask) < count)
+
+    for (at, mask, _), (_, count) in zip([spec for spec in LOTS if spec[2] == 0], SUBSETS, strict=True):
+        df = df.withColumn(of_size[at], any_of(at, mask, count))
+
     def hashed(at: int, mask: int, lot: int) -> Column:
-        kept = F.filter("_known", lambda k: F.shiftright(k["lots"], at).bitwiseAND(mask) == lot)
+        kept = F.filter(of_size[at], lambda k: value(k, at, mask) == lot)
         joined = F.array_join(F.transform(kept, lambda k: k["t"]), " ")
-        return F.when(joined != "", number(F.md5(joined), DIGITS))
+        return F.when(F.size(kept) > 0, number(F.md5(joined), DIGITS))
 
-    df = df.withColumn(out, F.array(*[hashed(*spec) for spec in LOTS]))
+    df = df.withColumn(out, F.array(*[hashed(*spec) for spec in LOTS])).drop(*of_size.values())
     of_all = F.when(F.size("_terms") > 0, number(F.md5(F.array_join(F.sort_array("_terms"), " ")), DIGITS))
     fallback = F.concat(F.array(of_all), F.array_repeat(F.lit(None).cast("long"), len(LOTS) - 1))
     return df.withColumn(out, F.when(F.exists(out, lambda h: h.isNotNull()), F.col(out)).otherwise(fallback)).drop("_terms", "_known")
