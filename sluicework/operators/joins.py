@@ -41,10 +41,9 @@ def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_k
     rows = right.unionByName(left)
     at, spans = micros("_t"), max(ranges, 1)
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.select(F.count("*")).scalar()
-    hot = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter((F.col("_n") > hot_rows) & (F.col("_n") * (4 * width) > total)).select("_k", F.lit(True).alias("_hot"))
-    ends = rows.select(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
-    place = F.floor((at - ends["low"]) / (ends["high"] - ends["low"] + 1) * spans).cast("int")
+    known = rows.select(F.struct(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
+    hot = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter((F.col("_n") > hot_rows) & (F.col("_n") * (4 * width) > known["n"])).select("_k", F.lit(True).alias("_hot"))
+    place = F.floor((at - known["low"]) / (known["high"] - known["low"] + 1) * spans).cast("int")
     rows = rows.join(F.broadcast(hot), "_k", "left").withColumn("_range", F.when(F.col("_hot"), place).otherwise(0)).drop("_hot")
     large = rows.join(F.broadcast(hot), "_k", "left_semi")
     last = large.groupBy("_k", "_range").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_version")), F.when(F.col("_side") == 0, F.struct("_t", "_s"))).alias("_end"))
