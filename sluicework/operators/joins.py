@@ -19,10 +19,11 @@ def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_k
     and one sort however many versions a key has; no pair is built. With ``retracting``, a negative
     probe takes one equal probe before it away (equal in all but ``sequence`` and ``kind``).
 
-    A key of over ``hot_rows`` rows that has more than a quarter of what a task should get is cut into
-    ``ranges`` of time, and a task holds its rows of one range. There are at most four such keys for
-    each shuffle partition, so what is known about them is small: which they are, and the last version
-    of each of their ranges, summed up with partial results and carried over the ranges.
+    A key of over ``hot_rows`` rows is cut into ``ranges`` of its time, and a task holds its rows of one
+    range. The largest such keys are, four for each shuffle partition, so that any key is among them that
+    has more than a quarter of what a task should get, and what is known about them is small: which they
+    are, and the last version of each of their ranges, summed up with partial results and carried over
+    the ranges. Where there is no such key, Spark leaves these steps out when it sees that.
     """
     if how not in ("inner", "left"):
         raise ValueError("an as-of join is inner or left")
@@ -40,11 +41,11 @@ def as_of(probes: DataFrame, versions: DataFrame, *, key: str = "key", version_k
     left = p.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(sequence).alias("_s"), F.lit(None).cast(right.schema["_version"].dataType).alias("_version"), F.struct(*p.columns).alias("_probe"))
     rows = right.unionByName(left)
     at, spans = micros("_t"), max(ranges, 1)
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = rows.select(F.struct(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
-    hot = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter((F.col("_n") > hot_rows) & (F.col("_n") * (4 * width) > known["n"])).select("_k", F.lit(True).alias("_hot"))
-    place = F.floor((at - known["low"]) / (known["high"] - known["low"] + 1) * spans).cast("int")
-    rows = rows.join(F.broadcast(hot), "_k", "left").withColumn("_range", F.when(F.col("_hot"), place).otherwise(0)).drop("_hot")
+    most = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+    hot = sizes.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "_k").limit(most).drop("_n")
+    place = F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * spans).cast("int")
+    rows = rows.join(F.broadcast(hot), "_k", "left").withColumn("_range", F.coalesce(place, F.lit(0))).drop("_low", "_high")
     large = rows.join(F.broadcast(hot), "_k", "left_semi")
     last = large.groupBy("_k", "_range").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_version")), F.when(F.col("_side") == 0, F.struct("_t", "_s"))).alias("_end"))
     over = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
