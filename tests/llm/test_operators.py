@@ -270,6 +270,19 @@ def test_html_text(spark):
     assert (got[7].text, got[7].n_chars, got[8].text, got[9].text) == ("", 0, "", "only this")
 
 
+def test_html_of_odd_tables(spark):
+    """Extra columns with names of the operator's own, repeated rows, null ids, urls and pages, long pages."""
+    long_page = "<article>" + "<p>word &amp; word</p>" * 40_000 + "</article>"
+    rows = [(1, "http://h.example/1", PAGE.format(n=1))] * 2 + [(None, None, PAGE.format(n=2)), (3, "http://h.example/3", None), (4, "http://h.example/4", long_page), (5, "::", "<p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "path", "text", "_html", "n_chars", "best", "count"):
+        df = df.withColumn(name, F.lit("x"))
+    got = html_text.extract_text(df).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got)[-1] == (5, 0) and len(got) == 6 and len({tuple(r) for r in got}) == 5
+    of = {r.page_id: r.text for r in got}
+    assert of[3] == "" and of[4].count("word & word") == 40_000 and of[None].startswith("Titél 2")
+
+
 def test_html_consensus_beats_a_page_of_long_asides(spark):
     odd = "<body><div class=main><p>short</p></div><div class=extra><p>" + "long " * 80 + "</p></div>"
     page = "<body><div class=main><p>" + "text " * 40 + "</p></div><div class=extra><p>x</p></div>"
