@@ -463,7 +463,7 @@ def watermark_trace(spark, d):
 
 #: A fold record by record: the watermarks of three partitions, moved by the records that are let in.
 THREE = StreamPolicy(partitions=3, disorder=600.0, drift=7200.0)
-FOLD = """WITH RECURSIVE a AS (SELECT event_id, event_id % 3 AS p, epoch_us(ts) - 600000000 AS own, row_number() OVER (ORDER BY (event_id + (event_id * 37) % 101) * 1000 + event_id % 1000) AS n FROM events),
+FOLD = """WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, event_id % 3 AS p, epoch_us(ts) - 600000000 AS own, row_number() OVER (ORDER BY (event_id + (event_id * 37) % 101) * 1000 + event_id % 1000) AS n FROM events),
 f AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS w0, NULL::BIGINT AS w1, NULL::BIGINT AS w2, false AS rejected
 UNION ALL SELECT n, event_id, CASE WHEN p = 0 AND NOT bad THEN moved ELSE w0 END, CASE WHEN p = 1 AND NOT bad THEN moved ELSE w1 END, CASE WHEN p = 2 AND NOT bad THEN moved ELSE w2 END, bad
 FROM (SELECT *, coalesce(moved > CASE p WHEN 0 THEN CASE WHEN w1 IS NOT NULL AND w2 IS NOT NULL THEN least(w1, w2) END WHEN 1 THEN CASE WHEN w0 IS NOT NULL AND w2 IS NOT NULL THEN least(w0, w2) END ELSE CASE WHEN w0 IS NOT NULL AND w1 IS NOT NULL THEN least(w0, w1) END END + 7200000000, false) AS bad
